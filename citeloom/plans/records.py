@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citeloom.operators.hotkeys import distinct_by_key, heavy_keys, profile_by_key
 from citeloom.operators.nested import contributions, flat_table, schema_graph, shred
+from citeloom.operators.packed import WOS_FIELDS, latest_records, split_packed
 from citeloom.operators.rejects import bad_lines, classify_lines, good_records
 from citeloom.runtime import table
 
@@ -69,3 +70,12 @@ SQL: dict[str, str] = {
         SELECT author, count(*) AS n_rows, min(year) AS first_year, max(year) AS last_year, count(DISTINCT full_ref) AS n_works
         FROM cit WHERE author IS NOT NULL GROUP BY 1""",
 }
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = latest_records(table(spark, folder, "wos_record").select("ut", "au", "cr", "id", "loaded_at"))
+    rows = split_packed(records, "_own", WOS_FIELDS)
+    return rows.select(F.when(~F.startswith("_own", F.lit("\u0000")), F.col("_own")).alias("ut"), "field", "pos", "item")
+
+
+QUERIES = {"p1_found": p1_found} | QUERIES
