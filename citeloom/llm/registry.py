@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citeloom.llm.cooccurrence import cooccurrences
+from citeloom.llm.mixing import mix_sources, shares_reached
 from citeloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,15 @@ def p3_surprise(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrences(table(spark, folder, "cit"), "doc_id", "full_ref", min_count=5)
 
 
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_target")
+    return shares_reached(mix_sources(table(spark, folder, "documents"), targets), targets)
+
+
 _PAIRS = """
     WITH s AS (SELECT DISTINCT doc_id, full_ref FROM cit WHERE full_ref IS NOT NULL AND doc_id IS NOT NULL),
     n AS (SELECT full_ref, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 5),
@@ -28,7 +38,7 @@ _PAIRS = """
     p AS (SELECT a.full_ref AS ref_a, b.full_ref AS ref_b, count(*) AS n_ab
           FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_surprise)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_surprise, p9_mixture, p9_shares)}
 SQL: dict[str, str] = {
     "p3_found": _PAIRS + """
     SELECT ref_a, ref_b FROM p JOIN n x ON x.full_ref = ref_a JOIN n y ON y.full_ref = ref_b
