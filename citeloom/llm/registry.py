@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citeloom.llm.cooccurrence import cooccurrences
+from citeloom.llm.leakage import find_leaks
 from citeloom.llm.mixing import mix_sources, shares_reached
 from citeloom.runtime import table
 
@@ -22,6 +23,15 @@ def p3_surprise(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrences(table(spark, folder, "cit"), "doc_id", "full_ref", min_count=5)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+    return leaks.where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"), paraphrases=True)
+
+
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
 
@@ -38,7 +48,7 @@ _PAIRS = """
     p AS (SELECT a.full_ref AS ref_a, b.full_ref AS ref_b, count(*) AS n_ab
           FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_surprise, p9_mixture, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_surprise, p8_found, p8_report, p9_mixture, p9_shares)}
 SQL: dict[str, str] = {
     "p3_found": _PAIRS + """
     SELECT ref_a, ref_b FROM p JOIN n x ON x.full_ref = ref_a JOIN n y ON y.full_ref = ref_b
