@@ -9,11 +9,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from citeloom.llm.cooccurrence import cooccurrences
 from citeloom.llm.leakage import find_leaks
 from citeloom.llm.mixing import mix_sources, shares_reached
+from citeloom.llm.variants import author_names, link_variants, variant_pairs
 from citeloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _authors(spark: SparkSession, folder: str) -> DataFrame:
+    return link_variants(author_names(table(spark, folder, "cit"), table(spark, folder, "doc"), table(spark, folder, "wos_record")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_pairs(_authors(spark, folder))
+
+
+def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    linked = _authors(spark, folder)
+    return linked.join(linked.groupBy("cluster").agg(F.count("*").alias("n_spellings"), F.min("spelling").alias("author")), "cluster").drop("cluster")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = cooccurrences(table(spark, folder, "cit"), "doc_id", "full_ref", min_count=5, min_lift=8)
     return pairs.select(F.col("item_a").alias("ref_a"), F.col("item_b").alias("ref_b"))
@@ -48,7 +62,7 @@ _PAIRS = """
     p AS (SELECT a.full_ref AS ref_a, b.full_ref AS ref_b, count(*) AS n_ab
           FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_surprise, p8_found, p8_report, p9_mixture, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_surprise, p8_found, p8_report, p9_mixture, p9_shares)}
 SQL: dict[str, str] = {
     "p3_found": _PAIRS + """
     SELECT ref_a, ref_b FROM p JOIN n x ON x.full_ref = ref_a JOIN n y ON y.full_ref = ref_b
