@@ -83,7 +83,7 @@ class _Fillers:
         if x < 0.8:
             return f"{family}, {given}{middle}"
         if x < 0.94:
-            return f"{given[0]}.{middle} {family}"
+            return f"{r.choice('ABCDEFGHIJKLMNOPQRSTUVWYZ')}.{middle} {family}"
         return f"{family}, {given[0]}.{middle}"
 
     def mail(self) -> str:
@@ -119,11 +119,11 @@ class _Fillers:
         street, town = f"{r.randint(1, 250)} {r.choice(_STREETS)}{r.choice(('', '', 'brook', 'gate', 'moor'))} {r.choice(_KINDS)}", self.family()
         town = f"{r.choice(('', '', '', 'Port-', 'Lower-'))}{town}{r.choice(('', '', '', '-on-Sea'))}"
         x = r.random()
-        if x < 0.25:
+        if x < 0.18:
             return f"Flat {r.randint(1, 30)}, {street}, {town}"
-        if x < 0.5:
+        if x < 0.36:
             return f"{street}, Apt {r.randint(1, 40)}{r.choice('ABC')}, {town} {self.digits(5)}"
-        if x < 0.72:
+        if x < 0.5:
             return f"{r.choice(('P.O. Box', 'P.O. Box', 'PO Box', 'Box'))} {r.randint(10, 9999)}, {town}"
         return f"{street}, {town}"
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from citeloom.llm.cooccurrence import cooccurrences
 from citeloom.llm.leakage import find_leaks
 from citeloom.llm.mixing import mix_sources, shares_reached
+from citeloom.llm.pii import find_places, redact
 from citeloom.llm.variants import author_names, link_variants, variant_pairs
 from citeloom.runtime import table
 
@@ -55,6 +56,14 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares_reached(mix_sources(table(spark, folder, "documents"), targets), targets)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_places(table(spark, folder, "documents")).select("doc_id", "pii_type", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redact(table(spark, folder, "documents"))
+
+
 _PAIRS = """
     WITH s AS (SELECT DISTINCT doc_id, full_ref FROM cit WHERE full_ref IS NOT NULL AND doc_id IS NOT NULL),
     n AS (SELECT full_ref, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 5),
@@ -62,7 +71,7 @@ _PAIRS = """
     p AS (SELECT a.full_ref AS ref_a, b.full_ref AS ref_b, count(*) AS n_ab
           FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_surprise, p8_found, p8_report, p9_mixture, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_surprise, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted)}
 SQL: dict[str, str] = {
     "p3_found": _PAIRS + """
     SELECT ref_a, ref_b FROM p JOIN n x ON x.full_ref = ref_a JOIN n y ON y.full_ref = ref_b
