@@ -10,6 +10,7 @@ from citeloom.llm.cooccurrence import cooccurrences
 from citeloom.llm.leakage import find_leaks
 from citeloom.llm.mixing import mix_sources, shares_reached
 from citeloom.llm.pii import find_places, redact
+from citeloom.llm.scans import find_flaws, paragraphs
 from citeloom.llm.variants import author_names, link_variants, variant_pairs
 from citeloom.runtime import table
 
@@ -38,6 +39,14 @@ def p3_surprise(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrences(table(spark, folder, "cit"), "doc_id", "full_ref", min_count=5)
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_flaws(table(spark, folder, "jstor_page"))[0].select("entry_name", "seq", "line_no", "flaw").distinct()
+
+
+def p7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs(table(spark, folder, "jstor_page"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     leaks = find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
     return leaks.where("kind = 'verbatim'").select("doc_id", "item_id")
@@ -71,7 +80,7 @@ _PAIRS = """
     p AS (SELECT a.full_ref AS ref_a, b.full_ref AS ref_b, count(*) AS n_ab
           FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_surprise, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_surprise, p7_found, p7_paragraphs, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted)}
 SQL: dict[str, str] = {
     "p3_found": _PAIRS + """
     SELECT ref_a, ref_b FROM p JOIN n x ON x.full_ref = ref_a JOIN n y ON y.full_ref = ref_b
