@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import records
+from citeloom.plans import records, star
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(records.QUERIES)
+    return records.QUERIES | star.QUERIES
 
 
 def core_sql() -> dict[str, str]:
-    return dict(records.SQL)
+    return records.SQL | star.SQL
