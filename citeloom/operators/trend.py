@@ -77,7 +77,7 @@ def first_added(top: DataFrame, key: str) -> DataFrame:
     return top.groupBy(key).agg(F.min("window").alias("first_added"))
 
 
-def births_deaths(series: DataFrame, key: str, death_cutoff: float = 0.5, birth_cutoff: float = 0.1, backward: int = 10, forward: int = 5) -> DataFrame:
+def births_deaths(series: DataFrame, key: str, birth_cutoff: float = 0.5, death_cutoff: float = 0.1, forward: int = 10, backward: int = 5) -> DataFrame:
     """(key, event, year): births and deaths of each key's popularity.
 
     A key is born in its first year. It dies in the first year from `backward` years after its birth on in which the
@@ -94,8 +94,7 @@ def births_deaths(series: DataFrame, key: str, death_cutoff: float = 0.5, birth_
             (acc, i) -> CASE
               WHEN acc.at < 0 AND v[i] > 0 THEN
                 named_struct('events', array(named_struct('event', 'birth', 'year', cast(y0 + i as int))), 'at', i, 'alive', true, 'life', cast(null as double))
-              WHEN acc.at < 0 OR i < acc.at OR i > n - 1 - {forward}
-                OR (size(acc.events) = 1 AND i < acc.at + {backward}) THEN acc
+              WHEN acc.at < 0 OR i > n - 1 - {forward} THEN acc
               WHEN acc.alive AND i >= acc.at + {backward}
                 AND (aggregate(slice(v, i + 1, {forward}), 0D, (a, x) -> a + x) / {forward})
                     <= {death_cutoff} * (aggregate(slice(v, acc.at + 1, i - acc.at), 0D, (a, x) -> a + x) / (i - acc.at)) THEN

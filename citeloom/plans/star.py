@@ -221,7 +221,7 @@ def top_first_added(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def births_deaths(spark: SparkSession, folder: str) -> DataFrame:
-    return trend.births_deaths(_series(spark, folder, "c"), "c", backward=10, forward=5)
+    return trend.births_deaths(_series(spark, folder, "c"), "c")
 
 
 @_query(_SERIES.format(key="ta") + """, r AS (SELECT *, row_number() OVER (PARTITION BY ta ORDER BY year DESC) AS back FROM s),
