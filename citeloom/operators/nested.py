@@ -124,7 +124,7 @@ def shred(df: DataFrame, entry: str, xml: str, graph: SchemaGraph) -> DataFrame:
                 path = f"{path}/{kind}" if path else kind
                 if not len(at):
                     cols[path] = at.text or ""
-                elif not all(_name(c.tag) in tables for c in at) or (at.text or "").strip():
+                elif (at.text or "").strip() or any((c.tail or "").strip() for c in at):  # mixed content
                     cols[path] = "".join(at.itertext())
                 for k, v in at.attrib.items():
                     cols[f"{path}@{_name(k)}"] = v
