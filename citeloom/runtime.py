@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,28 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "16g"
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once for each Spark context, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_citeloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.parent.suffix != ".zip":
+        target = os.path.join(tempfile.mkdtemp(prefix="citeloom-"), "citeloom.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        sc.addPyFile(target)
+    sc._citeloom_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -46,6 +65,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, written to the checkpoint folder so that a lost executor loses nothing."""
+    ship(df.sparkSession)
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
