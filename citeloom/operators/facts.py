@@ -23,6 +23,21 @@ def citations(docs: DataFrame, refs: DataFrame, keep: Column | None = None) -> D
     return rows.select("doc", "c", "ta", "ty", "fy", "fj", "ffa", "authors")
 
 
+def keep_values(cited: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
+    """Rows whose `column` is among the values of the one-column table `allowed`."""
+    return cited.join(allowed.toDF(column).distinct(), column, "left_semi").select(*cited.columns)
+
+
+def drop_values(cited: DataFrame, column: str, banned: DataFrame) -> DataFrame:
+    """Rows whose `column` is not among the values of `banned`; null values stay."""
+    return cited.join(banned.toDF(column).where(F.col(column).isNotNull()).distinct(), column, "left_anti").select(*cited.columns)
+
+
+def skipped(cited: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
+    """How many rows `keep_values` leaves out: one row, n."""
+    return cited.join(allowed.toDF(column).distinct(), column, "left_anti").agg(F.count("*").alias("n"))
+
+
 def by_author(cited: DataFrame) -> DataFrame:
     return cited.withColumn("fa", F.explode("authors"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from citeloom.functions import normalize, text
 from citeloom.operators import cube, facts, graph, relational
 from citeloom.sources import archive, wos
+from citeloom.sources.dataset import search
 from citeloom.streaming import windowed_counts
 from citeloom.runtime import table
 
@@ -297,6 +298,38 @@ def term_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("t1", "t2").agg(F.count("*").alias("ind"), F.countDistinct("doc").alias("doc"))
 
 
+@_query()
+def term_journal(spark: SparkSession, folder: str) -> DataFrame:
+    return cube.count_space(archive.term_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal"), "fj.t")
+
+
+@_query()
+def text_cocited(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = archive.cited_pairs(_contexts(spark, folder), "doc_id", "pub_year")
+    return pairs.groupBy("c1", "c2").agg(F.count("*").alias("ind"), F.countDistinct("doc").alias("doc"))
+
+
+@_query()
+def page_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "jstor_page").where("elem = 'page'").select("entry_name", "seq", "content").distinct()
+    return archive.sentences(pages, "entry_name", "seq", "content")
+
+
+@_query(_DC + " SELECT full_ref, count(*) AS n FROM j WHERE starts_with(lower(full_ref), 'quillforthe, w.|') GROUP BY 1")
+def author_works(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _joined(spark, folder).withColumn("c", F.col("full_ref"))
+    return relational.count_table(search(rows, "c", "Quillforthe, W.|"), ["full_ref"], documents=False)
+
+
+@_query(_DC + """ SELECT journal, count(*) AS n FROM j WHERE author NOT IN ('Oskarvalde, T.', 'Quillforthe, W.')
+    AND full_ref IN (SELECT full_ref FROM j WHERE doc_year >= 2015) GROUP BY 1""")
+def listed_values(spark: SparkSession, folder: str) -> DataFrame:
+    joined = _joined(spark, folder).where("author is not null")
+    banned = spark.createDataFrame([("Oskarvalde, T.",), ("Quillforthe, W.",)], "author string")
+    recent = _joined(spark, folder).where("doc_year >= 2015").select("full_ref")
+    return relational.count_table(facts.keep_values(facts.drop_values(joined, "author", banned), "full_ref", recent), ["journal"], documents=False)
+
+
 @_query("SELECT zip_name AS zip, count(*) AS n_entries FROM jstor_entry GROUP BY 1")
 def archive_counts(spark: SparkSession, folder: str) -> DataFrame:
     return archive.entry_counts(table(spark, folder, "jstor_entry").select(F.col("zip_name").alias("zip")))

@@ -121,6 +121,24 @@ def term_pairs(fact: DataFrame, keep: DataFrame) -> DataFrame:
     return pairs.where(F.size(F.array_intersect(a, b)) < F.least(F.size(a), F.size(b)))
 
 
+def cited_pairs(found: DataFrame, doc: str, year: str) -> DataFrame:
+    """Pairs of works cited in one context, first smaller: doc, c1, c2, fy."""
+    lists = found.select(F.col(doc).alias("doc"), F.col(year).alias("fy"), F.array_sort(F.array_distinct("cited")).alias("cs"))
+    one = lists.select("doc", "fy", F.explode("cs").alias("c1"), "cs")
+    return one.select("doc", "c1", F.explode(F.filter("cs", lambda x: x > F.col("c1"))).alias("c2"), "fy")
+
+
+def sentences(pages: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """(doc, no, sentence): sentences of a document's pages in order, those that run over a page's end in one piece."""
+    w = Window.partitionBy("doc").orderBy("o", "k")
+    cut = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?])\s+(?=\S)")
+    bits = pages.select(F.col(doc).alias("doc"), F.col(order).alias("o"), F.posexplode(cut).alias("k", "s")).where("s <> ''")
+    # A piece goes on with the one before unless that one ended a sentence.
+    begins = F.coalesce(F.lag("s").over(w).rlike(r"[.!?]$"), F.lit(True))
+    whole = bits.withColumn("no", F.sum(begins.cast("int")).over(w).cast("int")).groupBy("doc", "no")
+    return whole.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "k", "s"))), lambda x: x["s"]), " ").alias("sentence"))
+
+
 def head_votes(pages: DataFrame, entry: str = "entry_name", order: str = "seq", text: str = "content") -> DataFrame:
     """Beginnings of pages that repeat: (entry, head), 1 to 14 words on more than a quarter of an entry's pages, longest ones only."""
     words = F.slice(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), 1, 20)
