@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from citeloom.runtime import cut
 
-CELLS = 1 << 16  # word statistics are hashed into so many cells per place in a value
+CELLS = 1 << 15  # word statistics are hashed into so many cells per place in a value; bounds what the driver gathers
 PLACES = 8  # first part or later part; alone, first, middle or last word in it
 HARD = r";|\||\r?\n|\r|\t|\s//?\s"
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv")  # fixed values: what may follow a name after a second comma
