@@ -215,7 +215,7 @@ def _padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def train(rounds: int = 12, epochs: int = 14, seed: int = 11) -> Field:
+def train(rounds: int = 16, epochs: int = 14, seed: int = 11) -> Field:
     """Fit the field by AdaGrad on exact log-likelihood gradients (forward-backward) of small batches."""
     numbering, rows, gold = _Numbering(), [], []
     for text, places in labelled_sentences(rounds, seed):

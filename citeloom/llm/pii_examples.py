@@ -44,7 +44,7 @@ NEGATIVE = (
     "The {w} of {w} in {t} {w} the {w} ({s} and {s} {y}; {s} {y}).", "We argue that {w} {w} {w} {w} among {w} (see {s} et al. {y}, p. {d}).", "Neither {w} nor {w} {w} the {w} whom Mac {s} ({y}) described.", "After {y}, {d} {w} {w} the {w} and its {w}.",
     "By {y} the {w} had {w} {w} {w}, though {w} {w} {w} (van {s}, {y}; cf. {s} {y}).", "In {t}, {w} and {w} {w} one {w} after another.", "The {s} Institute answered within {d} days.", "The {s} Institute for Social Research answered {w}.", "The {w} at {s} College in {t} {w} {w}.",
     "See grant {d4}-{d2}-{d4} of the research council.", "It appeared as doi 10.{d4}/abcd.{d6}, ISSN {d4}-{d4}.", "The sample (N = {d4}; {d} households) covers {y}-{y}.", "Shelf mark {C}{C} {d3} {d2} {d2}, volume {d2}({d}), pp. {d}-{d}.", "The handle @{w} was used by the reading circle.",
-    "Shelf mark QS {d3} {d2} {d2}, volume {d}({d}), pp. {d}-{d}.", "Shelf mark {C}{C} {d2} {d2} {d2} {C}, box {d}.", "See grant {d3}-{d2}-{d4} of the fund.", "It appeared as doi 10.{d4}/velm.{d6}, ISSN {d4}-{d4}.", "The {s} Institute, the {s} College and the {s} Council {w} the {w}.",
+    "Shelf mark QS {d3} {d2} {d2}, volume {d}({d}), pp. {d}-{d}.", "Shelf mark {C}{C} {d2} {d2} {d2} {C}, box {d}.", "It appeared as doi 10.{d4}/velm.{d6}, ISSN {d4}-{d4}.", "The {s} Institute, the {s} College and the {s} Council {w} the {w}.",
     "Für {w} {c} {w} der {c} die {w} {c}.", "Für {w} {c} {w} der {c}.", "Dass der {c} die {c} {w}, zeigen {d} {c} aus {t}.", "Neither {w} nor {w} was {w} in {t}.", "It was {w} {w}, not {w}, that {w} {w} {w} in {t}. The {w} Society {w}.",
     "Catalogue number {d3} {d2} {d4} {w} the {w}.", "En {t}, {d} {w} {w} un {w} {w}. Después de {y}, cada {w} {w} un {w}.", "Selon {s} et {s} ({y}), {w} le {w}.", "The {c} Road in {t} was {w}.",
     "Table 3.{d} gives p = 0.{d3} and t({d3}) = 4.{d2}.", "The ledger runs from folio {d} to {d3} and was priced at {d3}.{d2} crowns.", "The street market on {c} Road in {t} closed early.", "The fair in {c} Street drew {d4} {w}.", "Nach {s} ({y}) {w} der {w} die {w} {w}.",
@@ -110,13 +110,14 @@ class _Fillers:
     def identity(self) -> str:
         d, r = self.digits, self.r
         c = lambda n=1: "".join(r.choice("ABCDEFGHJKLMNPQRSTWXYZ") for _ in range(n))
+        area = r.choice(("000", f"9{d(2)}", d(3)))
         return r.choice((
-            f"{c(2)} {d(2)} {d(2)} {d(2)} {c()}", f"{c(2)}{d(6)}{c()}", f"{c(2)}{d(7)}", f"{c()}{d(8)}{c()}", f"{c()}-{d(1)}.{d(3)}.{d(3)}", f"{c()}-{d(2)}.{d(3)}.{d(3)}", f"{d(6)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{d(8)}{c()}", f"{c()}{d(8)}",
+            f"{c(2)} {d(2)} {d(2)} {d(2)} {c()}", f"{c(2)}{d(6)}{c()}", f"{c(2)}{d(7)}", f"{c()}{d(8)}{c()}", f"{c()}-{d(1)}.{d(3)}.{d(3)}", f"{c()}-{d(2)}.{d(3)}.{d(3)}", f"{d(6)}-{d(4)}", f"{area}-{d(2)}-{d(4)}", f"{area} {d(2)} {d(4)}", f"{area} {d(2)} {d(4)}", f"{d(8)}{c()}", f"{c()}{d(8)}",
         ))
 
     def address(self) -> str:
         r = self.r
-        street, town = f"{r.randint(1, 250)} {r.choice(_STREETS)}{r.choice(('', '', 'brook', 'gate', 'moor'))} {r.choice(_KINDS)}", self.family()
+        street, town = f"{r.randint(1, 250)} {r.choice(('', '', '', '', 'Old ', 'New ', 'Upper ', 'Great '))}{r.choice(_STREETS)}{r.choice(('', '', 'brook', 'gate', 'moor'))} {r.choice(_KINDS)}", self.family()
         town = f"{r.choice(('', '', '', 'Port-', 'Lower-'))}{town}{r.choice(('', '', '', '-on-Sea'))}"
         x = r.random()
         if x < 0.18:
