@@ -4,9 +4,9 @@ A spelling is read into a name body (family name, or the place of a corporate au
 the kinds of words in the corporate name). Spellings that agree in both are one node, so a name written a million
 times is compared once. Nodes are TF-IDF vectors of character n-grams of the body plus the mark. The join is exact:
 of each vector only the rarest features that are needed to reach the threshold are indexed (prefix filtering), which
-also keeps common n-grams, and with them hot join keys, out of the shuffle. Pairs are checked by edit distance and
-then merged by average linkage; clusters that are each other's nearest merge in the same round, which for average
-linkage gives the same tree as merging one pair at a time.
+also keeps common n-grams, and with them hot join keys, out of the shuffle. Clusters are merged by
+average linkage over the cosines of all pairs, but only where a pair one edit apart joins them; clusters that are each
+other's nearest of those merge in the same round.
 """
 
 from __future__ import annotations
@@ -165,14 +165,18 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def average_linkage(nodes: DataFrame, edges: DataFrame, link: float = LINK, rounds: int = 40) -> DataFrame:
-    """Clusters (id, cluster) of `nodes` (id) under similarities `edges` (a, b, s); pairs without an edge count 0."""
+    """Clusters (id, cluster) of `nodes` (id) under similarities `edges` (a, b, s); pairs without an edge count 0.
+
+    With a column `admit` in `edges` only clusters that some edge with it joins may merge; all edges count in the mean.
+    Without it, merging all mutually nearest clusters at once gives the same tree as one pair at a time.
+    """
     member = cut(nodes.select("id", F.col("id").alias("cluster"), F.lit(1.0).alias("size")))
     sizes = member.select(F.col("cluster").alias("c"), "size")
-    now = cut(edges.select("a", "b", "s"))
+    now = cut(edges.select("a", "b", "s", "admit" if "admit" in edges.columns else F.lit(True).alias("admit")))
     for _ in range(rounds):
         scored = (
             now.join(sizes.select(F.col("c").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("size").alias("nb")), "b")
-            .withColumn("mean", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("mean") >= link)
+            .withColumn("mean", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("admit") & (F.col("mean") >= link))
         )
         both = scored.select("a", "b", "mean").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean"))
         # Ties go to the pair with the smaller ids, seen alike from both ends.
@@ -187,8 +191,8 @@ def average_linkage(nodes: DataFrame, edges: DataFrame, link: float = LINK, roun
 
         sizes = cut(moved(sizes, "c").groupBy("c").agg(F.sum("size").alias("size")))
         member = cut(moved(member, "cluster"))
-        now = moved(moved(now, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
-        now = cut(now.groupBy("a", "b").agg(F.sum("s").alias("s")))
+        now = moved(moved(now, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "admit")
+        now = cut(now.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("admit").alias("admit")))
     return member.select("id", "cluster")
 
 
@@ -215,7 +219,11 @@ def link_variants(names: DataFrame, column: str = "name", min_cosine: float = MI
     pairs = near_pairs(nodes.where("body <> '' and kind <> 'x'"), min_cosine)
     bodies = nodes.select("id", "body")
     pairs = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-    edges = pairs.where((F.least(F.length("x"), F.length("y")) > 3) & alike("x", "y")).select("a", "b", F.col("cosine").alias("s"))
+    admit = (F.least(F.length("x"), F.length("y")) > 3) & alike("x", "y")
+    edges = cut(pairs.select("a", "b", F.col("cosine").alias("s"), admit.alias("admit")))
+    # Nodes that no pair one edit apart holds can never merge; their cosines need no rounds.
+    linked = cut(edges.where("admit").select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    edges = edges.join(linked.select(F.col("id").alias("a")), "a", "left_semi").join(linked.select(F.col("id").alias("b")), "b", "left_semi")
     return parsed.join(nodes.drop("n"), ["kind", "body", "mark"]).join(average_linkage(nodes, edges, link), "id").select("spelling", "cluster")
 
 

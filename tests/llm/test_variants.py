@@ -57,3 +57,12 @@ def test_average_linkage(spark):
     for r in average_linkage(nodes, edges, 0.4).collect():
         got.setdefault(r.cluster, set()).add(r.id)
     assert {frozenset(g) for g in got.values()} == linkage(n, sims, 0.4)
+
+
+def test_many_typos_of_one_name(spark):
+    typos = ["lasibaraven, t", "lasibaravn, t", "lsibaraven, t", "lasbaraven, t", "lasibraven, t", "lasibarxven, t"]
+    df = spark.createDataFrame([(n,) for n in [*typos, "lasibaraven, e", "doruntogarth, t"]], "name string")
+    groups = {}
+    for r in link_variants(df).collect():
+        groups.setdefault(r.cluster, set()).add(r.spelling)
+    assert sorted(map(len, groups.values())) == [1, 1, 6] and set(typos) in groups.values()
