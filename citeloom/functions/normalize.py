@@ -40,7 +40,7 @@ def cited_author(text: Column) -> Column:
 
 
 def is_article(raw: Column) -> Column:
-    return F.contains(raw, F.lit("DOI")) | raw.rlike(r", V[0-9]+") | raw.rlike(r"[0-9]+, P?[0-9]+")
+    return F.contains(raw, F.lit("DOI")) | raw.rlike(r", [Vv][0-9]+") | raw.rlike(r"[0-9]+, [Pp]?[0-9]+")
 
 
 def parse_reference(raw: Column) -> Column:
@@ -49,7 +49,7 @@ def parse_reference(raw: Column) -> Column:
     year = F.regexp_extract(raw, _YEAR, 2)
     fields = F.transform(F.split(F.lower(raw), ","), lambda x: F.trim(x))
     article = is_article(raw)
-    rest = F.substring_index(F.array_join(F.slice(fields, 3, 1000), ","), ",doi", 1)
+    rest = F.substring_index(F.array_join(F.slice(fields, F.lit(3), F.greatest(F.size(fields), F.lit(1))), ","), ",doi", 1)
     book = F.when(F.size(fields) < 3, author).otherwise(F.concat(author, F.lit("|"), F.get(fields, F.lit(2))))
     key = F.when(article, F.concat(author, F.lit("|"), year, F.lit("|"), rest)).otherwise(book)
     kind = F.when(article, "article").otherwise("book")

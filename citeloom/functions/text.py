@@ -43,20 +43,24 @@ def untokenized(tokens: Column) -> Column:
     return joined
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """The columns worked out once for each row: what stands before an explode isn't copied into what stands after it."""
-    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once"))
+def once(df: DataFrame, name: str = "_once", /, **columns: Column) -> DataFrame:
+    """The columns in a struct `name`, worked out once for each row: what stands before an explode isn't copied into what stands after it."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(name))
 
 
-def bracket_rows(df: DataFrame, text: str) -> DataFrame:
-    """One row per outer bracket with `pos` from 0, `start` counted from 0 and `content`; inner ones are part of it."""
+def bracket_rows(df: DataFrame, text: str, names: tuple[str, str, str] = ("pos", "start", "content")) -> DataFrame:
+    """One row per outer bracket with its number and its place, both from 0, and what is inside; inner ones are part of it.
+
+    `names` are those of the new columns, which replace columns of the same name.
+    """
     rx = r"\([^)]*\)"
-    parts = _once(df.where(F.contains(text, F.lit("("))), g=F.regexp_extract_all(text, F.lit(f"({rx})"), F.lit(1)), o=F.split(text, rx, -1))
+    parts = once(df.where(F.contains(text, F.lit("("))), g=F.regexp_extract_all(text, F.lit(f"({rx})"), F.lit(1)), o=F.split(text, rx, -1))
     lengths = F.transform("_once.g", lambda g, i: F.length(g) + F.length(F.get(F.col("_once.o"), i)))
-    rows = parts.select("*", lengths.alias("_n"), F.posexplode("_once.g").alias("pos", "_group"))
-    before = F.aggregate(F.slice("_n", F.lit(1), F.col("pos")), F.lit(0), lambda a, x: a + x) + F.length(F.get("_once.o", F.col("pos")))
+    rows = parts.select("*", lengths.alias("_n"), F.posexplode("_once.g").alias("_pos", "_group"))
+    before = F.aggregate(F.slice("_n", F.lit(1), F.col("_pos")), F.lit(0), lambda a, x: a + x) + F.length(F.get("_once.o", F.col("_pos")))
     content = F.substr("_group", F.lit(2), F.length("_group") - 2)
-    return rows.select(*df.columns, "pos", before.cast("int").alias("start"), content.alias("content"))
+    kept = [F.col(c) for c in df.columns if c not in names]
+    return rows.select(*kept, F.col("_pos").alias(names[0]), before.cast("int").alias(names[1]), content.alias(names[2]))
 
 
 def _hits(part: Column) -> list[Column]:
@@ -75,13 +79,13 @@ def citation_rows(df: DataFrame, text: str) -> DataFrame:
     """
     flat = F.regexp_replace(F.regexp_replace(text, r"-\n", ""), r"\s+", " ")
     trimmed = lambda sep: F.transform(F.split(flat, sep), lambda p: F.trim(p))
-    parts = _once(df.where(F.col(text).rlike("[0-9]{4}")), semi=F.filter(trimmed(";"), lambda p: F.size(F.split(p, ",")) < 4), comma=trimmed(","))
+    parts = once(df.where(F.col(text).rlike("[0-9]{4}")), semi=F.filter(trimmed(";"), lambda p: F.size(F.split(p, ",")) < 4), comma=trimmed(","))
     parts = parts.withColumnRenamed("_once", "_parts")
     first = F.filter(F.transform("_parts.semi", lambda p: F.coalesce(*_hits(p))), lambda h: h.isNotNull())
     every = F.filter(F.flatten(F.transform("_parts.comma", lambda p: F.array(*_hits(p)))), lambda h: h.isNotNull())
-    read = _once(parts, first=first, every=every)
+    read = once(parts, first=first, every=every)
     cited = F.when(F.size("_once.every") > F.size("_once.first"), F.col("_once.every")).otherwise(F.col("_once.first"))
-    return read.select(*df.columns, cited.alias("cited")).where(F.size("cited") > 0)
+    return read.select(*[c for c in df.columns if c != "cited"], cited.alias("cited")).where(F.size("cited") > 0)
 
 
 def citation_keys(found: Column) -> Column:

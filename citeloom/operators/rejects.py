@@ -1,13 +1,17 @@
 """Loading delimited lines while setting bad ones apart with their reasons.
 
-The lines are parsed permissively under an explicit schema that keeps the raw text; what the parser could not take as
-it stands is then reclassified by quoting, field count and casts. All of it runs inside the JVM without a shuffle.
+The lines are parsed permissively under an explicit schema that keeps the raw text of corrupt ones. All fields come
+from the parsed struct. What the parser calls corrupt, and lines with quotes, of which it is known to be lenient, are
+reclassified from their raw text: broken quoting first, else a wrong number of fields. Casts are checked on the fields
+of the others. All of it runs inside the JVM without a shuffle, and each step is worked out once for a line.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from citeloom.functions.text import once
+
 TAGS = ("UT", "DT", "TI", "SO", "PY", "AU", "CR", "EA", "NR", "ID")
 FIRST_YEAR, LAST_YEAR = 1900, 2026
 
@@ -23,6 +27,8 @@ MISSING_WORDS = (
 
 _FIELD = r'(?:"(?:[^"]++|"")*+"(?=\t|$)|(?!")[^\t]*+)'
 _LINE = rf"^{_FIELD}(?:\t{_FIELD})*+$"
+MOST_COLUMNS = 20_000  # the parser stops a job at 20,480 columns; lines with more tabs, or with line ends inside, are cut by `_PIECES`
+_PIECES = r'''regexp_extract_all(_text, '(?:^|\\t)("(?:[^"]++|"")*+"(?=\\t|$)|[^\\t]*+)', 1)'''
 
 
 def _month(name: Column) -> Column:
@@ -60,50 +66,44 @@ def classify_lines(df: DataFrame, line: str = "raw_line", line_no: str = "line_n
     """Each data line with its raw text, parsed fields and reasons: the input columns plus `fields` and `reasons`.
 
     Header lines (line 1 of a file, or a line that repeats the tags) and blank or null lines are left out. `fields`
-    is a struct of the ten tags, null where the line could not be read; `reasons` is empty for a good line. Repeated
-    rows are kept, any length of line is read whole, an empty table gives no rows.
+    is a struct of the ten tags, null where the line could not be read; `reasons` is empty for a good line; columns of the input
+    with these names give way. Repeated rows are kept, any length of line is read whole, an empty table gives no rows.
     """
     schema = ", ".join(f"`{t}` STRING" for t in TAGS) + ", `_corrupt` STRING"
-    text = F.regexp_replace(F.col(line), r"\r$", "")
     options = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "maxCharsPerColumn": "-1"}
-    rows = (
-        df.withColumn("_text", text)
-        .where(F.col(line).isNotNull() & (F.trim(F.col("_text")) != ""))
-        .where((F.coalesce(F.col(line_no), F.lit(0)) != 1) & (F.col("_text") != "\t".join(TAGS)))
-    )
-    pieces = F.expr(r"""regexp_extract_all(_text, '(?:^|\\t)("(?:[^"]++|"")*+"(?=\\t|$)|[^\\t]*+)', 1)""")
-    clean = F.transform(
-        F.col("_pieces"),
-        lambda f: F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f),
-    )
-    rows = (
-        rows.withColumn("_csv", F.from_csv(F.col("_text"), schema, options))
-        .withColumn("_quoting", ~F.col("_text").rlike(_LINE))
-        .withColumn("_pieces", F.when(~F.col("_quoting"), pieces))
-        .withColumn("_columns", ~F.col("_quoting") & (F.size("_pieces") != len(TAGS)))
-        .withColumn("_ok", ~F.col("_quoting") & ~F.col("_columns"))
-        .withColumn("_fields", F.when(F.col("_ok"), clean))
-    )
-    at = {t: F.col("_fields")[i] for i, t in enumerate(TAGS)}
-    year = F.trim(at["PY"])
-    has_ea = F.trim(at["EA"]) != ""
-    good_ea = usable_date(at["EA"])
+    text = F.regexp_replace(F.col(line), r"\r$", "")
+    rows = df.where(F.col(line).isNotNull() & (F.coalesce(F.col(line_no), F.lit(0)) != 1)).select(F.struct("*").alias("_row"), text.alias("_text"))
+    rows = rows.where((F.trim("_text") != "") & (F.col("_text") != "\t".join(TAGS)))
+    readable = (F.length("_text") - F.length(F.replace("_text", F.lit("\t"), F.lit(""))) < MOST_COLUMNS) & ~F.contains("_text", F.lit("\n"))
+    parsed = once(rows, csv=F.from_csv(F.when(readable, F.col("_text")), schema, options), read=readable)
+    csv = F.col("_once.csv")
+    doubtful = csv["_corrupt"].isNotNull() | F.contains("_text", F.lit('"')) | ~F.col("_once.read")
+    parsed = once(parsed, "_case", quoting=doubtful & ~F.col("_text").rlike(_LINE), pieces=F.when(~F.col("_once.read"), F.expr(_PIECES)))
+    quoting, pieces = F.col("_case.quoting"), F.col("_case.pieces")
+    # With sound quoting the parser is only at odds with the number of fields.
+    columns = ~quoting & F.when(F.col("_once.read"), csv["_corrupt"].isNotNull()).otherwise(F.size(pieces) != len(TAGS))
+
+    def bare(f: Column) -> Column:
+        return F.when(F.startswith(f, F.lit('"')) & (F.length(f) > 1), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+
+    fields = F.struct(*[F.when(F.col("_once.read"), F.coalesce(csv[t], F.lit(""))).otherwise(bare(F.get(pieces, F.lit(i)))).alias(t) for i, t in enumerate(TAGS)])
+    read = once(parsed, "_line", columns=columns, fields=F.when(~quoting & ~columns, fields))
+    at, year = F.col("_line.fields"), F.trim("_line.fields.PY")
+    ok, has_ea = at.isNotNull(), F.trim("_line.fields.EA") != ""
+    read = once(read, "_ea", good=F.when(ok & has_ea, usable_date(at["EA"])))  # null without a date
     good_year = year.rlike(r"^\d{4}$") & year.try_cast("int").between(FIRST_YEAR, LAST_YEAR)
-    reasons = F.filter(
+    reasons = F.array_compact(
         F.array(
-            F.when(F.col("_quoting"), F.lit("quoting")),
-            F.when(F.col("_columns"), F.lit("columns")),
-            F.when(F.col("_ok") & ~(F.coalesce(good_year, F.lit(False)) | ((year == "") & has_ea & good_ea)), F.lit("py")),
-            F.when(F.col("_ok") & has_ea & ~good_ea, F.lit("ea")),
-            F.when(F.col("_ok") & names_nobody(at["AU"]), F.lit("au")),
-        ),
-        lambda r: r.isNotNull(),
+            F.when(quoting, F.lit("quoting")),
+            F.when(F.col("_line.columns"), F.lit("columns")),
+            F.when(ok & ~(F.coalesce(good_year, F.lit(False)) | ((year == "") & F.coalesce("_ea.good", F.lit(False)))), F.lit("py")),
+            F.when(ok & ~F.col("_ea.good"), F.lit("ea")),
+            F.when(ok & names_nobody(at["AU"]), F.lit("au")),
+        )
     )
-    fields = F.when(F.col("_ok"), F.struct(*[at[t].alias(t) for t in TAGS]))
     # The permissive parser's own verdict stays as evidence beside the reasons.
-    return rows.select(
-        *[F.col(c) for c in df.columns], fields.alias("fields"), F.col("_csv._corrupt").alias("parser_corrupt"), reasons.alias("reasons")
-    )
+    kept = [F.col("_row").getField(c).alias(c) for c in df.columns if c not in ("fields", "parser_corrupt", "reasons")]
+    return read.select(*kept, at.alias("fields"), csv["_corrupt"].alias("parser_corrupt"), reasons.alias("reasons"))
 
 
 def bad_lines(classified: DataFrame, line_id: str = "line_id") -> DataFrame:

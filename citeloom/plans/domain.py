@@ -52,7 +52,7 @@ _REFS = r"""
     y AS (SELECT *, regexp_extract(raw, '(?s)^(.*?)((?:18|19|20)[0-9]{2})', 1) AS before, regexp_extract(raw, '(?s)^(.*?)((?:18|19|20)[0-9]{2})', 2) AS yr FROM r WHERE raw <> ''),
     w AS (SELECT *, string_split_regex(trim(lower(before)), '\s+') AS ws FROM y WHERE yr <> ''),
     a AS (SELECT *, CASE WHEN len(ws[1]) = 1 THEN ws[2] ELSE ws[1] END || ', ' || substring(CASE WHEN len(ws[1]) = 1 THEN ws[1] ELSE ws[2] END, 1, 1) || '.' AS author,
-          contains(raw, 'DOI') OR regexp_matches(raw, ', V[0-9]+') OR regexp_matches(raw, '[0-9]+, P?[0-9]+') AS art,
+          contains(raw, 'DOI') OR regexp_matches(raw, ', [Vv][0-9]+') OR regexp_matches(raw, '[0-9]+, [Pp]?[0-9]+') AS art,
           [trim(x) FOR x IN string_split(lower(raw), ',')] AS f FROM w WHERE len(ws) BETWEEN 2 AND 4),
     k AS (SELECT ut, author, CAST(yr AS INT) AS publish, CASE WHEN art THEN 'article' ELSE 'book' END AS type,
           CASE WHEN art THEN author || '|' || yr || '|' || string_split(array_to_string(f[3:], ','), ',doi')[1] WHEN len(f) < 3 THEN author ELSE author || '|' || f[3] END AS full_ref

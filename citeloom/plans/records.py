@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from citeloom.operators.hotkeys import distinct_by_key, heavy_keys, profile_by_key
 from citeloom.operators.nested import contributions, flat_table, schema_graph, shred
 from citeloom.operators.packed import WOS_FIELDS, latest_records, split_packed
-from citeloom.operators.rejects import bad_lines, classify_lines, good_records
+from citeloom.operators.rejects import FIRST_YEAR, LAST_YEAR, MISSING_WORDS, MONTHS, TAGS, bad_lines, classify_lines, good_records
 from citeloom.runtime import table
 
 HEAVY_SHARE = 0.01
@@ -28,7 +28,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_contributors(spark: SparkSession, folder: str) -> DataFrame:
-    entries = table(spark, folder, "jstor_entry").dropDuplicates(["entry_name"])
+    # Entries listed twice are alike; if they are not, the smaller text counts.
+    entries = table(spark, folder, "jstor_entry").groupBy("entry_name").agg(F.min("metadata_xml").alias("metadata_xml"))
     rows = shred(entries, "entry_name", "metadata_xml", schema_graph(entries, "metadata_xml"))
     return flat_table(rows, "contrib", {"contrib_type": "@contrib-type", "role": "role"})
 
@@ -56,7 +57,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p4_found, p4_good, p5_found, p5_contributors, p6_found, p6_per_work, p6_per_author)
 }
 
+_FIELD = '("([^"]|"")*"|([^"\\t][^\\t]*)?)'
+_NAMED, _SLASHED = r"([A-Za-z]{3})\.?(?: +(\d{1,2}),?)? +(\d{4})", r"(\d{1,2})/(\d{1,2})/(\d{4})"
+_TRIED = "TRY_CAST({y} || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE) IS NOT NULL"
+_LINES = rf"""
+    WITH t AS (SELECT line_id, regexp_replace(raw_line, '\r$', '') AS x FROM wos_line WHERE raw_line IS NOT NULL AND line_no <> 1),
+    q AS (SELECT *, regexp_full_match(x, '{_FIELD}(\t{_FIELD})*') AS sound, regexp_extract_all(chr(9) || x, '\t("(?:[^"]|"")*"|[^\t]*)', 1) AS p
+          FROM t WHERE trim(x) <> '' AND x <> '{chr(9).join(TAGS)}'),
+    f AS (SELECT *, [CASE WHEN starts_with(c, '"') AND length(c) > 1 THEN replace(substring(c, 2, length(c) - 2), '""', '"') ELSE c END FOR c IN p] AS v FROM q),
+    e AS (SELECT *, sound AND len(p) = 10 AS ok, trim(v[5]) AS py, trim(v[8]) AS ea, trim(regexp_replace(lower(v[6]), '[^\p{{L}}]+', ' ', 'g')) AS au FROM f),
+    m AS (SELECT *, CAST(list_position({list(MONTHS)}, upper(regexp_extract(ea, '{_NAMED}', 1))) AS VARCHAR) AS mon,
+          coalesce(nullif(regexp_extract(ea, '{_NAMED}', 2), ''), '1') AS md FROM e),
+    d AS (SELECT *, CASE WHEN regexp_full_match(ea, '{_NAMED}') THEN {_TRIED.format(y=f"regexp_extract(ea, '{_NAMED}', 3)", m="mon", d="md")}
+          WHEN regexp_full_match(ea, '{_SLASHED}') THEN {_TRIED.format(y=f"regexp_extract(ea, '{_SLASHED}', 3)", m=f"regexp_extract(ea, '{_SLASHED}', 1)", d=f"regexp_extract(ea, '{_SLASHED}', 2)")}
+          ELSE false END AS dated FROM m),
+    r AS (SELECT *, CASE WHEN NOT sound THEN ['quoting'] WHEN NOT ok THEN ['columns'] ELSE list_filter([
+          CASE WHEN NOT ((regexp_full_match(py, '\d{{4}}') AND coalesce(TRY_CAST(py AS INT), 0) BETWEEN {FIRST_YEAR} AND {LAST_YEAR}) OR (py = '' AND ea <> '' AND dated)) THEN 'py' END,
+          CASE WHEN ea <> '' AND NOT dated THEN 'ea' END, CASE WHEN au = '' OR au IN {MISSING_WORDS} THEN 'au' END], lambda z: z IS NOT NULL) END AS reasons FROM d)"""
+
 SQL: dict[str, str] = {
+    "p4_found": _LINES + " SELECT line_id, unnest(reasons) AS reason FROM r",
+    "p4_good": _LINES + f""" SELECT line_id, {', '.join(f"v[{i + 1}] AS {t.lower()}" for i, t in enumerate(TAGS) if t != 'PY')}, TRY_CAST(py AS INT) AS py FROM r WHERE len(reasons) = 0""",
     "p6_found": """
         WITH s AS (SELECT 'full_ref' AS field, full_ref AS key_value FROM cit UNION ALL SELECT 'author', author FROM cit),
         c AS (SELECT field, key_value, count(*) AS n FROM s WHERE key_value IS NOT NULL GROUP BY 1, 2)

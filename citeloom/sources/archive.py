@@ -82,9 +82,11 @@ def page_texts(rows: DataFrame, xml: str = "ocr") -> DataFrame:
 
 def contexts(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Brackets with citations: the columns of `docs` but the text, where, context, cited (array of keys)."""
-    kept = [c for c in docs.columns if c != text]
-    found = citation_rows(bracket_rows(docs, text), "content").withColumn("cited", citation_keys(F.col("cited")))
-    return found.where(F.size("cited") > 0).select(*kept, F.col("start").alias("where"), left_context(F.col(text), F.col("start")).alias("context"), "cited")
+    new = ("where", "context", "cited")
+    kept = [c for c in docs.columns if c != text and c not in new]
+    docs = docs.select(*kept, F.col(text).alias("_text"))
+    found = citation_rows(bracket_rows(docs, "_text", ("_no", "_start", "_inside")), "_inside").withColumn("cited", citation_keys(F.col("cited")))
+    return found.where(F.size("cited") > 0).select(*kept, F.col("_start").alias("where"), left_context(F.col("_text"), F.col("_start")).alias("context"), "cited")
 
 
 def cited_fact(found: DataFrame, doc: str, year: str, journal: str) -> DataFrame:

@@ -21,7 +21,7 @@ def record(py="2000", au="Doe, J", ea="", ti="t", n=10):
 
 
 def reasons(spark, *rows):
-    df = lines(spark, *rows).drop("fields")
+    df = lines(spark, *rows)
     got = {}
     for r in rejects.bad_lines(rejects.classify_lines(df)).collect():
         got.setdefault(r.line_id, set()).add(r.reason)
@@ -42,12 +42,25 @@ def test_reasons(spark):
 
 def test_headers_clashing_columns_and_long_lines(spark):
     df = lines(spark, TAB.join(rejects.TAGS), record(ti="x" * 300_000), record(ti='"' + 'y""' * 20_000 + '"')).withColumnRenamed("fields", "_text")
-    assert rejects.classify_lines(df.drop("_text")).count() == 2
-    good = rejects.good_records(rejects.classify_lines(df.drop("_text"))).collect()
+    assert rejects.classify_lines(df).count() == 2
+    good = rejects.good_records(rejects.classify_lines(df)).collect()
     assert sorted(len(r.ti) for r in good) == [40_000, 300_000]
     assert rejects.classify_lines(df.limit(0)).count() == 0
 
 
+def test_lines_beyond_the_parser(spark):
+    """More tabs than the parser has columns, and a line end inside a quoted field."""
+    wide = record(ti='"' + "a\t" * 30_000 + '"')
+    df = lines(spark, wide, record(ti='"one\ntwo"'), "x\t" * 30_000, '"x\t' * 30_000, "a\n" + record(n=9))
+    got = {r.line_id: (r.reasons, r.fields.TI if r.fields else None) for r in rejects.classify_lines(df).collect()}
+    assert got == {0: ([], "a\t" * 30_000), 1: ([], "one\ntwo"), 2: (["columns"], None), 3: (["quoting"], None), 4: (["columns"], None)}
+
+
+def test_fields_come_from_the_parser(spark):
+    df = rejects.good_records(rejects.classify_lines(lines(spark, record())))
+    assert "from_csv" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.dates(datetime.date(1900, 1, 1), datetime.date(2026, 12, 31)))
 def test_every_real_date_is_usable(spark, day):
