@@ -1,12 +1,18 @@
-"""Variant spellings of names: weighted character n-grams, a sparse cosine join and average linkage.
-
-A spelling is read into a name body (family name, or the place of a corporate author) and a mark (first initial, or
-the kinds of words in the corporate name). Spellings that agree in both are one node, so a name written a million
-times is compared once. Nodes are TF-IDF vectors of character n-grams of the body plus the mark. The join is exact:
-of each vector only the rarest features that are needed to reach the threshold are indexed (prefix filtering), which
-also keeps common n-grams, and with them hot join keys, out of the shuffle. Clusters are merged by
-average linkage over the cosines of all pairs, but only where a pair one edit apart joins them; clusters that are each
-other's nearest of those merge in the same round.
+"""Variant spellings of names: weighted character n-grams, a sparse top cosine join and average linkage.
+
+A spelling is read into a family name (or the place of a corporate author) and a mark (first initial, or the kinds of
+words in the corporate name), and becomes a vector of character n-grams: each n-gram of the family name counts once by
+itself and, with most of the weight, together with the mark. Letters inside an n-gram are put in order, so that two
+letters swapped change no more n-grams than one letter wrong. Spellings with the same vector are one node, so a name
+written a million times is compared once.
+
+The weight of an n-gram is its inverse frequency over all rows times its reliability: an n-gram that next to no rows
+hold is mostly a typing error's, and must not part the error from the name.
+
+The join is exact: of each vector only the rarest features that are needed to reach the threshold are indexed (prefix
+filtering); what many vectors share is cut into blocks that meet in separate tasks. Clusters are merged by average
+linkage over the cosines of all pairs of occurrences, so that the usual spelling of a name, not its errors, decides
+who belongs to it; clusters that are each other's nearest merge in the same round, until none is left.
 """
 
 from __future__ import annotations
@@ -17,13 +23,17 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from citeloom.operators.packed import WOS_FIELDS, latest_records, split_packed
 from citeloom.runtime import cut
 
-MIN_COSINE = 0.4  # of candidates; one wrong letter in a name of six letters leaves more
-LINK = 0.3  # average similarity up to which clusters merge
+MIN_COSINE = 0.5  # of the pairs that count in the linkage
+LINK = 0.71  # average similarity up to which clusters merge
+MARK_SHARE = 0.8  # of the squared weight that an n-gram has together with the mark
+DOUBT = 1e-4  # share of the rows at which an n-gram is half reliable
+COMMON = 0.02  # added to frequencies: rarer n-grams weigh about alike
+BLOCK = 2000  # vectors that share a feature and meet in one task
 
 # Short forms of given names whose first letter is not that of the full name.
 NICKNAMES = {
@@ -115,69 +125,74 @@ def read_name(name: str) -> tuple[str, str, str]:
     return "p", _fold("".join(family)), _fold(full)[:1]
 
 
-def _features(kind: str, body: str, mark: str) -> list[str]:
-    padded = f"^{body}$"
-    grams = {padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)}
-    return sorted(grams) + [f"#{kind}{mark}"]
+def _grams(body: str) -> list[str]:
+    """N-grams of two and three letters, each with its letters in order; edges count as often as the middle."""
+    out = set()
+    for n in (2, 3):
+        padded = "^" * (n - 1) + body + "$" * (n - 1)
+        out |= {"".join(sorted(padded[i : i + n])) for i in range(len(padded) - n + 1)}
+    return sorted(out)
 
 
-def near_pairs(nodes: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """Pairs (a, b, cosine) of `nodes` (id, kind, body, mark) that agree in kind and mark, exact above the threshold.
+def name_vectors(nodes: DataFrame) -> DataFrame:
+    """(id, v) of `nodes` (id, kind, body, mark, n): unit vectors as array<struct<k, w, g>> in one order for all, rarest first.
 
-    The mark is part of the join key, so it needs no weight of its own.
+    `k` orders the features: those with the mark before those without, then by the rows that hold the n-gram.
     """
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "own": b["kind"] + b["mark"], "grams": [_features(k, x, m)[:-1] for k, x, m in zip(b["kind"], b["body"], b["mark"])]})
-
-    listed = cut(nodes.mapInPandas(grams, "id bigint, own string, grams array<string>"))
-    total = listed.count()
-    weights = listed.select(F.explode("grams").alias("g")).groupBy("g").agg((F.count("*") / F.lit(float(max(total, 1)))).alias("df"))
-    # Inverse document frequency with a floor under the frequency: an n-gram that a typing error made is not worth more than a rare one.
-    weights = weights.select("g", F.log(2.0 + 1.0 / (F.col("df") + 0.02)).alias("w"))
-    weighted = listed.select("id", "own", F.explode("grams").alias("g")).join(weights, "g")
-    vectors = weighted.groupBy("id", "own").agg(F.sort_array(F.collect_list(F.struct("w", "g")), asc=False).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    vectors = vectors.withColumn("norm", norm).where("norm > 0")
-    vectors = cut(vectors.select("id", "own", F.transform("v", lambda x: F.struct((x["w"] / F.col("norm")).alias("w"), x["g"].alias("g"))).alias("v")))
+            yield pd.DataFrame({"id": b["id"], "own": b["kind"] + b["mark"], "n": b["n"], "grams": [_grams(x) for x in b["body"]]})
+
+    listed = cut(nodes.select("id", "kind", "body", "mark", "n").mapInPandas(grams, "id bigint, own string, n bigint, grams array<string>"))
+    total = float(listed.agg(F.sum("n")).head()[0] or 1)
+    held = listed.select("n", F.explode("grams").alias("g")).groupBy("g").agg(F.sum("n").alias("d")).withColumn("f", F.col("d") / total)
+    # The row that asks for the weight is no evidence for its n-grams: half of it counts, so that small tables work alike.
+    reliable = (F.col("d") - 0.5) / (F.col("d") + 0.5 + DOUBT * total)
+    weights = held.select("g", "f", (F.log(2.0 + 1.0 / (F.col("f") + COMMON)) * reliable).alias("w"))
+    # There are at most as many n-grams as triples of letters; the optimizer sees how few, and sends them to all tasks.
+    spread = listed.select("id", "own", F.explode("grams").alias("g")).join(weights, "g")
+    whole = spread.groupBy("id", "own").agg(F.collect_list(F.struct("f", "w", "g")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    marked = F.transform("v", lambda x: F.struct(x["f"].alias("k"), (x["w"] * MARK_SHARE**0.5 / F.col("norm")).alias("w"), F.concat("own", F.lit("|"), x["g"]).alias("g")))
+    plain = F.transform("v", lambda x: F.struct((x["f"] + 2.0).alias("k"), (x["w"] * (1.0 - MARK_SHARE) ** 0.5 / F.col("norm")).alias("w"), x["g"].alias("g")))
+    return whole.where("norm > 0").select("id", F.array_sort(F.concat(marked, plain)).alias("v"))
+
+
+def near_pairs(nodes: DataFrame, min_cosine: float = MIN_COSINE, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, cosine) of `nodes` (id, kind, body, mark, n), exact from the threshold on."""
+    vectors = cut(name_vectors(nodes))
     # A pair above the threshold shares a feature of this prefix: what follows it has a norm below the threshold.
-    place = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    spread = vectors.select("id", "own", F.posexplode("v").alias("at", "x")).select("id", "own", "at", "x.g", "x.w")
-    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(place), F.lit(0.0))
-    prefix = spread.withColumn("rest", 1.0 - before).where(F.col("rest") >= min_cosine * min_cosine - 1e-9).select("id", "own", "g")
-    met = prefix.alias("l").join(prefix.alias("r"), ["own", "g"]).where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    left, right = (vectors.select(F.col("id").alias(n), F.map_from_entries(F.transform("v", lambda x: F.struct(x["g"], x["w"]))).alias(f"v{n}")) for n in "ab")
+    upto = F.aggregate("v", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), lambda a, x: F.when(1.0 - a["s"] >= min_cosine * min_cosine - 1e-9, F.struct((a["s"] + x["w"] * x["w"]).alias("s"), (a["k"] + 1).alias("k"))).otherwise(a))
+    prefix = cut(vectors.select("id", F.explode(F.transform(F.slice("v", F.lit(1), upto["k"]), lambda x: x["g"])).alias("g")))
+    # A feature of many vectors is cut into blocks; each pair of blocks is a task's work, every pair of vectors meets once.
+    sizes = prefix.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", F.ceil(F.col("m") / block).cast("int").alias("nb"))
+    placed = prefix.join(sizes, "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    left = placed.select("g", "nb", F.col("id").alias("a"), F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    right = placed.select("g", F.col("id").alias("b"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"))
+    met = left.join(right, ["g", "i", "j"]).where("a < b").select("a", "b").distinct()
+    one, two = (vectors.select(F.col("id").alias(n), F.map_from_entries(F.transform("v", lambda x: F.struct(x["g"], x["w"]))).alias(f"v{n}")) for n in "ab")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at(F.col("vb"), x["key"]), F.lit(0.0)))
-    return met.join(left, "a").join(right, "b").withColumn("cosine", dot).where(F.col("cosine") >= min_cosine).select("a", "b", "cosine")
-
+    return met.join(one, "a").join(two, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= min_cosine)
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether one letter added, left out, changed or swapped with its neighbour turns a into b."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
+def average_linkage(nodes: DataFrame, edges: DataFrame, link: float = LINK) -> DataFrame:
+    """Clusters (id, cluster) of `nodes` (id, and n, how often it occurs) under similarities `edges` (a, b, s).
 
-def average_linkage(nodes: DataFrame, edges: DataFrame, link: float = LINK, rounds: int = 40) -> DataFrame:
-    """Clusters (id, cluster) of `nodes` (id) under similarities `edges` (a, b, s); pairs without an edge count 0.
-
-    With a column `admit` in `edges` only clusters that some edge with it joins may merge; all edges count in the mean.
-    Without it, merging all mutually nearest clusters at once gives the same tree as one pair at a time.
+    Pairs without an edge count 0. Merging all mutually nearest clusters at once gives the same tree as one pair at a
+    time; rounds go on until nothing merges.
     """
-    member = cut(nodes.select("id", F.col("id").alias("cluster"), F.lit(1.0).alias("size")))
-    sizes = member.select(F.col("cluster").alias("c"), "size")
-    now = cut(edges.select("a", "b", "s", "admit" if "admit" in edges.columns else F.lit(True).alias("admit")))
-    for _ in range(rounds):
-        scored = (
-            now.join(sizes.select(F.col("c").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("size").alias("nb")), "b")
-            .withColumn("mean", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("admit") & (F.col("mean") >= link))
-        )
+    member = nodes.select("id", F.col("id").alias("cluster"))
+    # A mean is never above its largest edge, so nodes without an edge as high as `link` stay alone.
+    held = edges.where(F.col("s") >= link).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sizes = cut(nodes.join(held, "id", "left_semi").select(F.col("id").alias("c"), F.col("n").cast("double").alias("size") if "n" in nodes.columns else F.lit(1.0).alias("size")))
+
+    def weighed(e: DataFrame) -> DataFrame:
+        return e.join(sizes.select(F.col("c").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("size").alias("nb")), "b")
+
+    now = cut(weighed(edges).select("a", "b", (F.col("s") * F.col("na") * F.col("nb")).alias("s")))
+    moves = None
+    while True:
+        scored = weighed(now).withColumn("mean", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("mean") >= link)
         both = scored.select("a", "b", "mean").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean"))
         # Ties go to the pair with the smaller ids, seen alike from both ends.
         best = both.groupBy("a").agg(F.max_by("b", F.struct("mean", -F.least("a", "b"), -F.greatest("a", "b"))).alias("b"))
@@ -190,48 +205,41 @@ def average_linkage(nodes: DataFrame, edges: DataFrame, link: float = LINK, roun
             return df.join(to, column, "left").withColumn(column, F.coalesce("keep", column)).drop("keep")
 
         sizes = cut(moved(sizes, "c").groupBy("c").agg(F.sum("size").alias("size")))
-        member = cut(moved(member, "cluster"))
-        now = moved(moved(now, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "admit")
-        now = cut(now.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("admit").alias("admit")))
-    return member.select("id", "cluster")
+        gone = merged.select(F.col("gone").alias("id"), F.col("keep").alias("cluster"))
+        moves = cut(gone if moves is None else moved(moves, "cluster").unionByName(gone))
+        now = moved(moved(now, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
+        now = cut(now.groupBy("a", "b").agg(F.sum("s").alias("s")))
+    if moves is None:
+        return member
+    return member.drop("cluster").join(moves, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def link_variants(names: DataFrame, column: str = "name", min_cosine: float = MIN_COSINE, link: float = LINK) -> DataFrame:
     """Rows (spelling, cluster) of the distinct spellings in `column`; equal clusters name the same author.
 
-    Null and blank names are left out, repeated names count once, an empty table gives no rows. Names without any
-    letter keep to themselves. `cluster` is one of the cluster's node ids and means nothing beyond the call.
+    Null and blank names are left out; a name repeated in many rows weighs more, but is one spelling. With a column
+    `n` in `names` a row counts so often. An empty table gives no rows. Names without any letter keep to themselves.
+    `cluster` is one of the cluster's node ids and means nothing beyond the call.
     """
-    spellings = names.select(spelling(F.col(column)).alias("spelling")).where("spelling <> ''").distinct()
+    times = F.sum("n") if "n" in names.columns and column != "n" else F.count("*")
+    spellings = names.withColumn("_s", spelling(F.col(column))).where("_s <> ''").groupBy(F.col("_s").alias("spelling")).agg(times.cast("bigint").alias("n"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [read_name(s) for s in b["spelling"]]
-            yield pd.DataFrame({"spelling": b["spelling"], "kind": [o[0] for o in out], "body": [o[1] for o in out], "mark": [o[2] for o in out]})
-
-    parsed = cut(spellings.mapInPandas(read, "spelling string, kind string, body string, mark string"))
-    nodes = cut(parsed.groupBy("kind", "body", "mark").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one_edit(x, y) for x, y in zip(a, b)])
+            yield b.assign(kind=[o[0] for o in out], body=[o[1] for o in out], mark=[o[2] for o in out])
 
-    pairs = near_pairs(nodes.where("body <> '' and kind <> 'x'"), min_cosine)
-    bodies = nodes.select("id", "body")
-    pairs = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-    admit = (F.least(F.length("x"), F.length("y")) > 3) & alike("x", "y")
-    edges = cut(pairs.select("a", "b", F.col("cosine").alias("s"), admit.alias("admit")))
-    # Nodes that no pair one edit apart holds can never merge; their cosines need no rounds.
-    linked = cut(edges.where("admit").select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    edges = edges.join(linked.select(F.col("id").alias("a")), "a", "left_semi").join(linked.select(F.col("id").alias("b")), "b", "left_semi")
-    return parsed.join(nodes.drop("n"), ["kind", "body", "mark"]).join(average_linkage(nodes, edges, link), "id").select("spelling", "cluster")
+    parsed = cut(spellings.mapInPandas(read, "spelling string, n bigint, kind string, body string, mark string"))
+    nodes = cut(parsed.groupBy("kind", "body", "mark").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    pairs = cut(near_pairs(nodes.where("body <> '' and kind <> 'x'"), min_cosine).withColumnRenamed("cosine", "s"))
+    return parsed.drop("n").join(nodes.drop("n"), ["kind", "body", "mark"]).join(average_linkage(nodes, pairs, link), "id").select("spelling", "cluster")
 
 
 def author_names(cit: DataFrame, doc: DataFrame, records: DataFrame) -> DataFrame:
-    """All author names of the three tables as one column `name`; `records.au` is split by the packed-value operator."""
+    """All author names of the three tables and how often they occur: name, n; `records.au` is split by the packed-value operator."""
     single = split_packed(latest_records(records.select("ut", "au", "loaded_at")), "_own", {"au": WOS_FIELDS["au"]})
     columns = (cit.select(F.col("author").alias("name")), doc.select(F.col("first_author").alias("name")), single.select(F.col("item").alias("name")))
-    return reduce(DataFrame.unionByName, (c.where("name is not null").distinct() for c in columns))
+    return reduce(DataFrame.unionByName, (c.where("name is not null").groupBy("name").agg(F.count("*").alias("n")) for c in columns))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:

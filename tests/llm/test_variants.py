@@ -1,6 +1,6 @@
 import random
 
-from citeloom.llm.variants import average_linkage, link_variants, near_pairs, one_edit, read_name, variant_pairs
+from citeloom.llm.variants import LINK, average_linkage, link_variants, name_vectors, near_pairs, read_name, variant_pairs
 
 
 def test_reading():
@@ -10,10 +10,6 @@ def test_reading():
     assert read_name("--")[0] == "x"
 
 
-def test_one_edit():
-    assert all(one_edit("abcd", x) for x in ("abcd", "bcd", "abcde", "abxd", "bacd")) and not any(one_edit("abcd", x) for x in ("badc", "ab", "abcdef", "dcba"))
-
-
 def test_links(spark):
     names = ["Doe, Jane", "DOE, J.", "doe j", "Jane Doe", "J. Doe", "Lasibaraven, T.", "lasibaravn, t", "Lasibaraven, Thomasina", "Lasibaraven, E.", None, "", " ", "--", "Doe, Jane", "x" * 5000]
     df = spark.createDataFrame([(n, "c") for n in names], "name string, cluster string")
@@ -26,11 +22,16 @@ def test_links(spark):
 
 def test_join_is_exact(spark):
     rng = random.Random(8)
-    bodies = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 8))) for _ in range(60)}
-    df = spark.createDataFrame([(i, "p", b, "x") for i, b in enumerate(sorted(bodies))], "id long, kind string, body string, mark string")
-    low = {(r.a, r.b): r.cosine for r in near_pairs(df, 0.05).collect()}
-    high = {(r.a, r.b): r.cosine for r in near_pairs(df, 0.5).collect()}
-    assert set(high) == {k for k, c in low.items() if c >= 0.5} and len(high) > 3
+    bodies = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(60)}
+    df = spark.createDataFrame([(i, "p", b, "xy"[i % 2], 1 + i % 3) for i, b in enumerate(sorted(bodies))], "id long, kind string, body string, mark string, n long")
+    vectors = {r.id: {x.g: x.w for x in r.v} for r in name_vectors(df).collect()}
+    assert all(abs(sum(w * w for w in v.values()) - 1.0) < 1e-9 for v in vectors.values())
+    brute = {(a, b): sum(w * vectors[b].get(g, 0.0) for g, w in vectors[a].items()) for a in vectors for b in vectors if a < b}
+    for least, block in ((0.15, 2000), (0.5, 2000), (0.5, 3)):
+        got = {(r.a, r.b): r.cosine for r in near_pairs(df, least, block).collect()}
+        assert set(got) == {k for k, c in brute.items() if c >= least} and len(got) > 3
+        assert all(abs(c - brute[k]) < 1e-9 for k, c in got.items())
+    assert any(a % 2 != b % 2 for a, b in near_pairs(df, 0.15).select("a", "b").collect())  # other initials meet too
 
 
 def linkage(n, sims, link):
@@ -59,6 +60,20 @@ def test_average_linkage(spark):
     assert {frozenset(g) for g in got.values()} == linkage(n, sims, 0.4)
 
 
+def test_linkage_of_occurrences(spark):
+    """A node that occurs k times is like k nodes of similarity 1; a long chain of rounds comes to its end."""
+    rng = random.Random(5)
+    times = [rng.randint(1, 3) for _ in range(7)]
+    owner = [i for i, k in enumerate(times) for _ in range(k)]
+    sims = {(i, j): rng.random() for i in range(7) for j in range(i + 1, 7)}
+    whole = {(x, y): 1.0 if owner[x] == owner[y] else sims[min(owner[x], owner[y]), max(owner[x], owner[y])] for x in range(len(owner)) for y in range(x + 1, len(owner))}
+    nodes = spark.createDataFrame(list(enumerate(times)), "id long, n long")
+    got = {}
+    for r in average_linkage(nodes, spark.createDataFrame([(a, b, s) for (a, b), s in sims.items()], "a long, b long, s double"), 0.5).collect():
+        got.setdefault(r.cluster, set()).add(r.id)
+    assert {frozenset(g) for g in got.values()} == {frozenset(owner[x] for x in g) for g in linkage(len(owner), whole, 0.5)}
+
+
 def test_many_typos_of_one_name(spark):
     typos = ["lasibaraven, t", "lasibaravn, t", "lsibaraven, t", "lasbaraven, t", "lasibraven, t", "lasibarxven, t"]
     df = spark.createDataFrame([(n,) for n in [*typos, "lasibaraven, e", "doruntogarth, t"]], "name string")
@@ -66,3 +81,15 @@ def test_many_typos_of_one_name(spark):
     for r in link_variants(df).collect():
         groups.setdefault(r.cluster, set()).add(r.spelling)
     assert sorted(map(len, groups.values())) == [1, 1, 6] and set(typos) in groups.values()
+
+
+def test_letters_of_errors_cost_less(spark):
+    """Weights decide, not edits: a letter that only an error has parts two names less than one that many rows have."""
+    rng = random.Random(2)
+    others = ["".join(rng.choice(["hip", "bri", "gin", "tor", "und", "ell", "mas", "kog", "wal", "sen", "fa", "lo"]) for _ in range(4)) for _ in range(40)]
+    bodies = [(b, 50) for b in [*dict.fromkeys(others), "lasibaraven", "lasigaraven"]] + [("lasixaraven", 1)]
+    nodes = spark.createDataFrame([(i, "p", b, "h", n) for i, (b, n) in enumerate(bodies)], "id long, kind string, body string, mark string, n long")
+    got = {(r.a, r.b): r.cosine for r in near_pairs(nodes, 0.3).collect()}
+    one, two, error = len(bodies) - 3, len(bodies) - 2, len(bodies) - 1
+    assert min(got[one, error], got[two, error]) > LINK > 0.65 > max(c for (a, b), c in got.items() if a < one)
+    assert min(got[one, error], got[two, error]) > got[one, two] + 0.08
