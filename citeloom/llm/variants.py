@@ -1,9 +1,8 @@
 """Variant spellings of names: weighted character n-grams, a sparse top cosine join and average linkage.
 
 A spelling is read into a family name (or the place of a corporate author) and a mark (first initial, or the kinds of
-words in the corporate name), and becomes a vector of character n-grams: each n-gram of the family name counts once by
-itself and, with most of the weight, together with the mark. Letters inside an n-gram are put in order, so that two
-letters swapped change no more n-grams than one letter wrong. Spellings with the same vector are one node, so a name
+words in the corporate name), and becomes a vector of character n-grams of the first together with the second. Letters
+inside an n-gram are put in order, so that two letters swapped change no more n-grams than one letter wrong. Spellings with the same vector are one node, so a name
 written a million times is compared once.
 
 The weight of an n-gram is its inverse frequency over all rows times its reliability: an n-gram that next to no rows
@@ -28,9 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from citeloom.operators.packed import WOS_FIELDS, latest_records, split_packed
 from citeloom.runtime import cut
 
-MIN_COSINE = 0.5  # of the pairs that count in the linkage
+MIN_COSINE = 0.6  # of the pairs that count in the linkage
 LINK = 0.71  # average similarity up to which clusters merge
-MARK_SHARE = 0.8  # of the squared weight that an n-gram has together with the mark
 DOUBT = 1e-4  # share of the rows at which an n-gram is half reliable
 COMMON = 0.02  # added to frequencies: rarer n-grams weigh about alike
 BLOCK = 2000  # vectors that share a feature and meet in one task
@@ -135,9 +133,9 @@ def _grams(body: str) -> list[str]:
 
 
 def name_vectors(nodes: DataFrame) -> DataFrame:
-    """(id, v) of `nodes` (id, kind, body, mark, n): unit vectors as array<struct<k, w, g>> in one order for all, rarest first.
+    """(id, own, v) of `nodes` (id, kind, body, mark, n): unit vectors as array<struct<f, g, w>>, rarest n-grams first.
 
-    `k` orders the features: those with the mark before those without, then by the rows that hold the n-gram.
+    An n-gram g (a number) counts together with `own`, the kind and mark: names of other marks share none.
     """
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,16 +144,16 @@ def name_vectors(nodes: DataFrame) -> DataFrame:
 
     listed = cut(nodes.select("id", "kind", "body", "mark", "n").mapInPandas(grams, "id bigint, own string, n bigint, grams array<string>"))
     total = float(listed.agg(F.sum("n")).head()[0] or 1)
-    held = listed.select("n", F.explode("grams").alias("g")).groupBy("g").agg(F.sum("n").alias("d")).withColumn("f", F.col("d") / total)
+    held = listed.select("n", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("n").alias("d")).withColumn("f", F.col("d") / total)
     # The row that asks for the weight is no evidence for its n-grams: half of it counts, so that small tables work alike.
     reliable = (F.col("d") - 0.5) / (F.col("d") + 0.5 + DOUBT * total)
-    weights = held.select("g", "f", (F.log(2.0 + 1.0 / (F.col("f") + COMMON)) * reliable).alias("w"))
+    weights = held.select("gram", "f", (F.log(2.0 + 1.0 / (F.col("f") + COMMON)) * reliable).alias("w"))
     # There are at most as many n-grams as triples of letters; the optimizer sees how few, and sends them to all tasks.
-    spread = listed.select("id", "own", F.explode("grams").alias("g")).join(weights, "g")
-    whole = spread.groupBy("id", "own").agg(F.collect_list(F.struct("f", "w", "g")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    marked = F.transform("v", lambda x: F.struct(x["f"].alias("k"), (x["w"] * MARK_SHARE**0.5 / F.col("norm")).alias("w"), F.concat("own", F.lit("|"), x["g"]).alias("g")))
-    plain = F.transform("v", lambda x: F.struct((x["f"] + 2.0).alias("k"), (x["w"] * (1.0 - MARK_SHARE) ** 0.5 / F.col("norm")).alias("w"), x["g"].alias("g")))
-    return whole.where("norm > 0").select("id", F.array_sort(F.concat(marked, plain)).alias("v"))
+    weights = cut(weights).withColumn("g", F.monotonically_increasing_id())
+    spread = listed.select("id", "own", F.explode("grams").alias("gram")).join(weights, "gram")
+    whole = spread.groupBy("id", "own").agg(F.array_sort(F.collect_list(F.struct("f", "g", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = F.transform("v", lambda x: F.struct(x["f"].alias("f"), x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w")))
+    return whole.where("norm > 0").select("id", "own", unit.alias("v"))
 
 
 def near_pairs(nodes: DataFrame, min_cosine: float = MIN_COSINE, block: int = BLOCK) -> DataFrame:
@@ -163,13 +161,14 @@ def near_pairs(nodes: DataFrame, min_cosine: float = MIN_COSINE, block: int = BL
     vectors = cut(name_vectors(nodes))
     # A pair above the threshold shares a feature of this prefix: what follows it has a norm below the threshold.
     upto = F.aggregate("v", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), lambda a, x: F.when(1.0 - a["s"] >= min_cosine * min_cosine - 1e-9, F.struct((a["s"] + x["w"] * x["w"]).alias("s"), (a["k"] + 1).alias("k"))).otherwise(a))
-    prefix = cut(vectors.select("id", F.explode(F.transform(F.slice("v", F.lit(1), upto["k"]), lambda x: x["g"])).alias("g")))
+    prefix = cut(vectors.select("id", "own", F.explode(F.transform(F.slice("v", F.lit(1), upto["k"]), lambda x: x["g"])).alias("g")))
     # A feature of many vectors is cut into blocks; each pair of blocks is a task's work, every pair of vectors meets once.
-    sizes = prefix.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    placed = prefix.join(sizes, "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    left = placed.select("g", "nb", F.col("id").alias("a"), F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    right = placed.select("g", F.col("id").alias("b"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"))
-    met = left.join(right, ["g", "i", "j"]).where("a < b").select("a", "b").distinct()
+    sizes = prefix.groupBy("own", "g").agg(F.count("*").alias("m")).where("m > 1").select("own", "g", F.ceil(F.col("m") / block).cast("int").alias("nb"))
+    placed = prefix.join(sizes, ["own", "g"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    left = placed.select("own", "g", F.col("id").alias("a"), F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    right = placed.select("own", "g", F.col("id").alias("b"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"))
+    met = left.join(right, ["own", "g", "i", "j"]).where("a < b").select("a", "b").distinct()
+    # Beside each pair stand only two short maps of numbers.
     one, two = (vectors.select(F.col("id").alias(n), F.map_from_entries(F.transform("v", lambda x: F.struct(x["g"], x["w"]))).alias(f"v{n}")) for n in "ab")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at(F.col("vb"), x["key"]), F.lit(0.0)))
     return met.join(one, "a").join(two, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= min_cosine)
