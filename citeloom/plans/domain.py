@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citeloom.functions import normalize, text
 from citeloom.operators import cube, facts, graph, relational
+from citeloom.operators.packed import latest_records
 from citeloom.sources import archive, wos
+from citeloom.schema import dotted_space
 from citeloom.sources.dataset import search
 from citeloom.streaming import windowed_counts
 from citeloom.runtime import table
@@ -28,8 +30,9 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
+def _records(spark: SparkSession, folder: str, latest: bool = False) -> DataFrame:
     rows = table(spark, folder, "wos_record")
+    rows = latest_records(rows) if latest else rows
     return rows.select(*[F.col(t.lower()).alias(t) for t in wos.TAGS])
 
 
@@ -47,13 +50,16 @@ def author_key(spark: SparkSession, folder: str) -> DataFrame:
     return keys.groupBy("fa").agg(F.count("*").alias("n"))
 
 
+_LATEST = "(SELECT * FROM wos_record QUALIFY row_number() OVER (PARTITION BY ut ORDER BY loaded_at DESC) = 1)"
 _REFS = r"""
-    WITH r AS (SELECT ut, trim(unnest(string_split(cr, ';'))) AS raw FROM wos_record WHERE cr IS NOT NULL),
-    y AS (SELECT *, regexp_extract(raw, '(?s)^(.*?)((?:18|19|20)[0-9]{2})', 1) AS before, regexp_extract(raw, '(?s)^(.*?)((?:18|19|20)[0-9]{2})', 2) AS yr FROM r WHERE raw <> ''),
+    WITH r AS (SELECT ut, trim(unnest(string_split(cr, ';'))) AS raw FROM {records} WHERE cr IS NOT NULL),
+    y AS (SELECT *, regexp_extract(raw, '(?s)^(.*?)((?:18|19|20)[0-9]{{2}})', 1) AS before, regexp_extract(raw, '(?s)^(.*?)((?:18|19|20)[0-9]{{2}})', 2) AS yr FROM r WHERE raw <> ''),
     w AS (SELECT *, string_split_regex(trim(lower(before)), '\s+') AS ws FROM y WHERE yr <> ''),
-    a AS (SELECT *, CASE WHEN len(ws[1]) = 1 THEN ws[2] ELSE ws[1] END || ', ' || substring(CASE WHEN len(ws[1]) = 1 THEN ws[1] ELSE ws[2] END, 1, 1) || '.' AS author,
+    n AS (SELECT *, string_split(CASE WHEN len(ws[1]) = 1 THEN ws[2] ELSE ws[1] END || ', ' || substring(CASE WHEN len(ws[1]) = 1 THEN ws[1] ELSE ws[2] END, 1, 1) || '.', '') AS cs
+          FROM w WHERE len(ws) BETWEEN 2 AND 4),
+    a AS (SELECT *, array_to_string([CASE WHEN i = 1 OR NOT regexp_matches(cs[i - 1], '\p{{L}}') THEN upper(cs[i]) ELSE cs[i] END FOR i IN range(1, len(cs) + 1)], '') AS author,
           contains(raw, 'DOI') OR regexp_matches(raw, ', [Vv][0-9]+') OR regexp_matches(raw, '[0-9]+, [Pp]?[0-9]+') AS art,
-          [trim(x) FOR x IN string_split(lower(raw), ',')] AS f FROM w WHERE len(ws) BETWEEN 2 AND 4),
+          [trim(x) FOR x IN string_split(lower(raw), ',')] AS f FROM n),
     k AS (SELECT ut, author, CAST(yr AS INT) AS publish, CASE WHEN art THEN 'article' ELSE 'book' END AS type,
           CASE WHEN art THEN author || '|' || yr || '|' || string_split(array_to_string(f[3:], ','), ',doi')[1] WHEN len(f) < 3 THEN author ELSE author || '|' || f[3] END AS full_ref
           FROM a WHERE NOT contains(author, '*'))"""
@@ -64,10 +70,9 @@ def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     return raw.withColumn("r", normalize.parse_reference(F.col("raw"))).where("r is not null").select("ut", "r.*")
 
 
-@_query(_REFS + " SELECT lower(author) AS author, publish, type, lower(full_ref) AS full_ref, count(*) AS n FROM k GROUP BY 1, 2, 3, 4")
+@_query(_REFS.format(records="wos_record") + " SELECT author, publish, type, full_ref, count(*) AS n FROM k GROUP BY 1, 2, 3, 4")
 def ref_parse(spark: SparkSession, folder: str) -> DataFrame:
-    # Letter case is tested on fixtures; SQL has no function for it.
-    return _parsed(spark, folder).groupBy(F.lower("author").alias("author"), "publish", "type", F.lower("full_ref").alias("full_ref")).agg(F.count("*").alias("n"))
+    return _parsed(spark, folder).groupBy("author", "publish", "type", "full_ref").agg(F.count("*").alias("n"))
 
 
 _TITLES = "(" + " OR ".join(f"contains(lower(trim(ti)), '{p}')" for p in normalize.TITLE_PARTS) + ")"
@@ -106,13 +111,30 @@ def work_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _wos_fact(spark: SparkSession, folder: str) -> DataFrame:
-    docs = wos.documents(_records(spark, folder).dropDuplicates(["UT"]))
+    docs = wos.documents(_records(spark, folder, latest=True))
     return facts.citations(docs.drop("CR"), wos.references(docs))
 
 
-@_query()
+def _cube_sql(head: str, fact: str, spaces: tuple[str, ...]) -> str:
+    columns = sorted({c for s in spaces for c in s.split(".")})
+    parts = (
+        f"SELECT '{dotted_space(s.split('.'))}' AS space, {', '.join(c if c in s.split('.') else f'NULL AS {c}' for c in columns)}, count(*) AS ind, count(DISTINCT doc) AS doc FROM {fact} GROUP BY {', '.join(s.split('.'))}"
+        for s in spaces
+    )
+    return head + " " + " UNION ALL ".join(parts)
+
+
+_WOS_SPACES = ("fj", "fy", "ty", "c.fy", "c.fj", "fj.fy", "c", "fy.ta")
+_WOS_DOCS = f""", good AS (SELECT ut, lower(so) AS fj, CAST(TRY_CAST(py AS DOUBLE) AS INT) AS fy FROM {_LATEST}
+    WHERE dt = 'Article' AND regexp_matches(trim(py), '^[+-]?[0-9]+$') AND trim(au) <> '' AND trim(cr) <> '' AND NOT {{titles}}
+    AND len(list_filter(string_split(au, ';'), lambda x: regexp_replace(lower(trim(x)), '[^a-zA-Z\\s,]', '', 'g') <> '')) > 0),
+    f AS (SELECT ut AS doc, full_ref AS c, author AS ta, publish AS ty, fj, fy FROM k JOIN good USING (ut))"""
+_NO_RESEARCH = "(" + " OR ".join(f"contains(lower(trim(coalesce(ti, ''))), '{p}')" for p in normalize.TITLE_PARTS) + f" OR lower(trim(coalesce(ti, ''))) IN {normalize.TITLE_WHOLE})"
+
+
+@_query(_cube_sql(_REFS.format(records=_LATEST) + _WOS_DOCS.format(titles=_NO_RESEARCH), "f", _WOS_SPACES))
 def wos_cube(spark: SparkSession, folder: str) -> DataFrame:
-    return cube.count_spaces(_wos_fact(spark, folder), ("fj", "fy", "ty", "c.fy", "c.fj", "fj.fy", "c", "fy.ta"))
+    return cube.count_spaces(_wos_fact(spark, folder), _WOS_SPACES)
 
 
 @_query(f"""
@@ -124,19 +146,24 @@ def wos_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return wos.quality(_records(spark, folder)).groupBy(F.coalesce("reject", F.lit("kept")).alias("reject")).agg(F.count("*").alias("n"))
 
 
-@_query()
+@_query(f"""
+    WITH r AS (SELECT * FROM {_LATEST} WHERE ut IS NOT NULL),
+    x AS (SELECT ut, i, regexp_replace(lower(trim(string_split(au, ';')[i])), '[^a-zA-Z\\s,]', '', 'g') AS k FROM r, unnest(range(1, len(string_split(au, ';')) + 1)) t(i) WHERE au IS NOT NULL),
+    c AS (SELECT ut, i, k, string_split(k, ', ') AS p FROM x), a AS (SELECT ut, min_by(fa, i) AS first_author FROM (SELECT ut, i, {_AUTHOR} AS fa FROM c) WHERE fa <> '' GROUP BY 1)
+    SELECT r.ut AS id, ti AS title, first_author, lower(so) AS journal,
+           coalesce(TRY_CAST(py AS INT), TRY_CAST(string_split(trim(ea), ' ')[-1] AS INT)) AS year, TRY_CAST(nr AS INT) AS citcnt_external FROM r LEFT JOIN a ON a.ut = r.ut""")
 def wos_relational_doc(spark: SparkSession, folder: str) -> DataFrame:
-    return wos.relational(_records(spark, folder))[0]
+    return wos.relational(_records(spark, folder, latest=True))[0]
 
 
-@_query()
+@_query(_REFS.format(records=_LATEST) + " SELECT ut AS doc_id, full_ref, author, publish AS year FROM k WHERE ut IS NOT NULL")
 def wos_relational_cit(spark: SparkSession, folder: str) -> DataFrame:
-    return wos.relational(_records(spark, folder))[1]
+    return wos.relational(_records(spark, folder, latest=True))[1]
 
 
-@_query("SELECT ut AS doc_id, lower(trim(t)) AS text FROM (SELECT ut, unnest(string_split(id, ';')) AS t FROM wos_record WHERE ut IS NOT NULL AND id IS NOT NULL) WHERE trim(t) <> ''")
+@_query(f"SELECT ut AS doc_id, lower(trim(t)) AS text FROM (SELECT ut, unnest(string_split(id, ';')) AS t FROM {_LATEST} WHERE ut IS NOT NULL AND id IS NOT NULL) WHERE trim(t) <> ''")
 def wos_relational_keyword(spark: SparkSession, folder: str) -> DataFrame:
-    return wos.relational(_records(spark, folder))[2]
+    return wos.relational(_records(spark, folder, latest=True))[2]
 
 
 # -- relational tables -------------------------------------------------------------------------------------------
@@ -250,69 +277,137 @@ def one_paragraph(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null").select("doc_id", text.one_paragraph(F.col("text")).alias("text"))
 
 
+_FORM_ROWS = ", ".join("({}, '{}')".format(i, form.replace("'", "''")) for i, form in enumerate(text.CITATION_FORMS))
+# Brackets (doc_id, pos) with their places, and the works cited in them, by the two readings.
+_CITED = rf"""
+    WITH t AS (SELECT doc_id, text, pub_year AS fy, lower(journal) AS fj, regexp_extract_all(text, '\([^)]*\)') AS g, string_split_regex(text, '\([^)]*\)') AS o FROM documents WHERE contains(text, '(')),
+    b AS (SELECT doc_id, text, fy, fj, i AS pos, substring(g[i], 2, length(g[i]) - 2) AS inside,
+          CAST(coalesce(list_sum([length(x) FOR x IN g[:i - 1]]), 0) + list_sum([length(x) FOR x IN o[:i]]) AS BIGINT) AS spot FROM t, unnest(range(1, len(g) + 1)) u(i)),
+    flat AS (SELECT *, regexp_replace(regexp_replace(inside, '-\n', '', 'g'), '\s+', ' ', 'g') AS x FROM b WHERE regexp_matches(inside, '[0-9]{{4}}')),
+    parts AS (SELECT doc_id, pos, 0 AS mode, i, trim(string_split(x, ';')[i]) AS part FROM flat, unnest(range(1, len(string_split(x, ';')) + 1)) u(i) WHERE len(string_split(string_split(x, ';')[i], ',')) < 4
+              UNION ALL SELECT doc_id, pos, 1, i, trim(string_split(x, ',')[i]) FROM flat, unnest(range(1, len(string_split(x, ',')) + 1)) u(i)),
+    forms(form, rx) AS (VALUES {_FORM_ROWS}),
+    tried AS (SELECT doc_id, pos, mode, i, form, regexp_extract(part, rx, 1) AS names, regexp_extract(part, rx, 2) AS years FROM parts, forms WHERE regexp_matches(part, '[0-9]{{4}}') AND regexp_matches(part, rx)),
+    hits AS (SELECT * FROM tried WHERE names NOT IN {text.MONTHS} QUALIFY mode = 1 OR row_number() OVER (PARTITION BY doc_id, pos, mode, i ORDER BY form) = 1),
+    sizes AS (SELECT doc_id, pos, count(*) FILTER (mode = 1) > count(*) FILTER (mode = 0) AS commas FROM hits GROUP BY 1, 2),
+    used AS (SELECT h.* FROM hits h JOIN sizes s ON s.doc_id = h.doc_id AND s.pos = h.pos AND (mode = 1) = commas),
+    cites AS (SELECT doc_id, pos, i, form, n, replace(names, chr(39) || 's', '') || ' (' || regexp_extract(string_split(years, ',')[n], '[0-9]{{4}}') || ')' AS cite
+              FROM used, unnest(range(1, len(string_split(years, ',')) + 1)) u(n) WHERE regexp_matches(string_split(years, ',')[n], '[0-9]{{4}}')),
+    raw AS (SELECT DISTINCT b.doc_id, b.pos, fy, fj, spot, substring(text, greatest(spot - 398, 1), spot + 2 - greatest(spot - 398, 1)) AS x FROM b JOIN cites c ON c.doc_id = b.doc_id AND c.pos = b.pos),
+    whole AS (SELECT *, CASE WHEN regexp_matches(x, '[\s.!?]') THEN regexp_replace(x, '(?s)^[^\s.!?]*[\s.!?]+', '') ELSE x END AS w FROM raw),
+    last AS (SELECT *, CASE WHEN regexp_matches(w, '[.!?]\s+\S') THEN regexp_extract(w, '(?s)^.*[.!?]\s+(\S.*)$', 1) ELSE w END AS l FROM whole),
+    ctx AS (SELECT doc_id, pos, fy, fj, CAST(spot AS INT) AS place, substring(l, 1, length(l) - 1) AS context FROM last),
+    words AS (SELECT *, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(context), '[^a-zA-Z\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN {tuple(text.STOPWORDS)}) AS ws FROM ctx),
+    terms AS (SELECT doc_id AS doc, pos, fy, fj, unnest(list_distinct(list_concat(ws, [least(ws[k], ws[k + 1]) || '-' || greatest(ws[k], ws[k + 1]) FOR k IN range(1, len(ws))]))) AS t FROM words),
+    fact AS (SELECT c.doc_id AS doc, c.pos, cite AS c, fy, fj FROM cites c JOIN ctx ON ctx.doc_id = c.doc_id AND ctx.pos = c.pos),
+    vocab AS (SELECT t, contains(t, '-') AS pair, count(DISTINCT doc) AS docs, CAST(row_number() OVER (PARTITION BY contains(t, '-') ORDER BY count(DISTINCT doc) DESC, t) AS INT) AS rank FROM terms GROUP BY 1 QUALIFY rank <= 100)"""
+
+
 def _contexts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "journal", "pub_year")
     return archive.contexts(docs, "doc_id", "text")
 
 
-@_query()
+def _term_fact(spark: SparkSession, folder: str) -> DataFrame:
+    return archive.term_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal")
+
+
+def _ind_doc(fact: str, *dims: str) -> str:
+    return f"{_CITED} SELECT {', '.join(dims)}, count(*) AS ind, count(DISTINCT doc) AS doc FROM {fact} GROUP BY {', '.join(dims)}"
+
+
+@_query(_CITED + " SELECT c AS cite, count(*) AS n, count(DISTINCT doc) AS docs FROM fact GROUP BY 1")
 def citation_parse(spark: SparkSession, folder: str) -> DataFrame:
     return _contexts(spark, folder).select("doc_id", F.explode("cited").alias("cite")).groupBy("cite").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@_query()
+@_query(_CITED + """ SELECT ctx.doc_id, place AS "where", context, string_agg(cite, '; ' ORDER BY i, form, n) AS cited FROM ctx JOIN cites c ON c.doc_id = ctx.doc_id AND c.pos = ctx.pos GROUP BY 1, ctx.pos, 2, 3""")
 def citation_context(spark: SparkSession, folder: str) -> DataFrame:
     return _contexts(spark, folder).select("doc_id", "where", "context", F.array_join("cited", "; ").alias("cited"))
 
 
-@_query()
+_TEXT_SPACES = ("fy", "c", "fj", "fj.fy", "c.fj", "c.fy")
+
+
+@_query(_cube_sql(_CITED, "fact", _TEXT_SPACES))
 def text_cube(spark: SparkSession, folder: str) -> DataFrame:
-    fact = archive.cited_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal")
-    return cube.count_spaces(fact, ("fy", "c", "fj", "fj.fy", "c.fj", "c.fy"))
+    return cube.count_spaces(archive.cited_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal"), _TEXT_SPACES)
 
 
-@_query()
+@_query(_ind_doc("terms", "t"))
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return cube.count_space(archive.term_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal"), "t")
+    return cube.count_space(_term_fact(spark, folder), "t")
 
 
-@_query()
+@_query(_ind_doc("terms", "fy", "t"))
 def term_year(spark: SparkSession, folder: str) -> DataFrame:
-    return cube.count_space(archive.term_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal"), "fy.t")
+    return cube.count_space(_term_fact(spark, folder), "fy.t")
 
 
-@_query()
+@_query(_CITED + " SELECT * FROM vocab")
 def term_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return archive.vocabulary(archive.term_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal"), 200)
+    return archive.vocabulary(_term_fact(spark, folder), 200)
 
 
-@_query()
+@_query(_CITED + " SELECT c, t, count(*) AS ind, count(DISTINCT f.doc) AS doc FROM fact f JOIN terms USING (doc, pos) GROUP BY 1, 2")
 def cited_term(spark: SparkSession, folder: str) -> DataFrame:
     return cube.count_space(archive.cited_terms(_contexts(spark, folder), "doc_id", "pub_year"), "c.t")
 
 
-@_query()
+@_query(_CITED + """, kept AS (SELECT terms.* FROM terms JOIN vocab USING (t)),
+    met AS (SELECT a.t AS t1, b.t AS t2, a.doc FROM kept a JOIN kept b ON a.doc = b.doc AND a.pos = b.pos AND a.t < b.t)
+    SELECT t1, t2, count(*) AS ind, count(DISTINCT doc) AS doc FROM met
+    WHERE len(list_intersect(list_distinct(string_split(t1, '')), list_distinct(string_split(t2, '')))) < least(len(list_distinct(string_split(t1, ''))), len(list_distinct(string_split(t2, '')))) GROUP BY 1, 2""")
 def term_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    fact = archive.term_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal")
+    fact = _term_fact(spark, folder)
     pairs = archive.term_pairs(fact, archive.vocabulary(fact, 200))
     return pairs.groupBy("t1", "t2").agg(F.count("*").alias("ind"), F.countDistinct("doc").alias("doc"))
 
 
-@_query()
+@_query(_ind_doc("terms", "fj", "t"))
 def term_journal(spark: SparkSession, folder: str) -> DataFrame:
-    return cube.count_space(archive.term_fact(_contexts(spark, folder), "doc_id", "pub_year", "journal"), "fj.t")
+    return cube.count_space(_term_fact(spark, folder), "fj.t")
 
 
-@_query()
+_COCITED = _CITED + ", one AS (SELECT DISTINCT doc, pos, c, fy FROM fact), met AS (SELECT a.c AS c1, b.c AS c2, a.fy, a.doc FROM one a JOIN one b ON a.doc = b.doc AND a.pos = b.pos AND a.c < b.c)"
+
+
+@_query(_COCITED + " SELECT c1, c2, count(*) AS ind, count(DISTINCT doc) AS doc FROM met GROUP BY 1, 2")
 def text_cocited(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = archive.cited_pairs(_contexts(spark, folder), "doc_id", "pub_year")
-    return pairs.groupBy("c1", "c2").agg(F.count("*").alias("ind"), F.countDistinct("doc").alias("doc"))
+    return cube.count_space(archive.cited_pairs(_contexts(spark, folder), "doc_id", "pub_year"), "c1.c2")
 
 
-@_query()
+@_query(_COCITED + " SELECT c1, c2, fy, count(*) AS ind, count(DISTINCT doc) AS doc FROM met GROUP BY 1, 2, 3")
+def text_cocited_year(spark: SparkSession, folder: str) -> DataFrame:
+    return cube.count_space(archive.cited_pairs(_contexts(spark, folder), "doc_id", "pub_year"), "c1.c2.fy")
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages and sections, each once; the parts of an entry are read by themselves."""
+    pages = table(spark, folder, "jstor_page").select("entry_name", "elem", "seq", "content").distinct()
+    return pages.withColumn("part", F.concat("entry_name", F.lit("/"), "elem"))
+
+
+_PAGES = "p AS (SELECT DISTINCT entry_name || '/' || elem AS part, seq, content FROM jstor_page)"
+
+
+@_query(rf"""WITH {_PAGES}, x AS (SELECT part, seq, string_split(regexp_replace(trim(regexp_replace(content, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS b FROM p),
+    s AS (SELECT part, seq, k, b[k] AS s FROM x, unnest(range(1, len(b) + 1)) u(k) WHERE b[k] <> ''),
+    n AS (SELECT *, sum(e) OVER (PARTITION BY part ORDER BY seq, k) AS no FROM (SELECT *, CASE WHEN coalesce(regexp_matches(lag(s) OVER (PARTITION BY part ORDER BY seq, k), '[.!?]$'), true) THEN 1 ELSE 0 END AS e FROM s))
+    SELECT part AS doc, CAST(no AS INT) AS no, string_agg(s, ' ' ORDER BY seq, k) AS sentence FROM n GROUP BY 1, 2""")
 def page_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "jstor_page").where("elem = 'page'").select("entry_name", "seq", "content").distinct()
-    return archive.sentences(pages, "entry_name", "seq", "content")
+    return archive.sentences(_pages(spark, folder), "part", "seq", "content")
+
+
+_HEADS = rf"""{_PAGES}, w AS (SELECT DISTINCT part, seq, string_split(trim(regexp_replace(content, '\s+', ' ', 'g')), ' ')[:20] AS w FROM p), n AS (SELECT part, count(*) AS pages FROM w GROUP BY 1),
+    v AS (SELECT part, array_to_string(w[:k], ' ') AS head, count(*) AS votes FROM w, unnest(range(1, least(14, len(w)) + 1)) u(k) GROUP BY 1, 2),
+    c AS (SELECT v.* FROM v JOIN n USING (part) WHERE votes > pages / 4.0 AND pages > 1 AND votes > 1 AND head <> ''),
+    top AS (SELECT part, head, votes FROM c WHERE NOT EXISTS (FROM c d WHERE d.part = c.part AND starts_with(d.head, c.head || ' ')))"""
+
+
+@_query(f"WITH {_HEADS} SELECT part AS entry, head, votes FROM top")
+def header_vote(spark: SparkSession, folder: str) -> DataFrame:
+    return archive.head_votes(_pages(spark, folder), "part")
 
 
 @_query(_DC + " SELECT full_ref, count(*) AS n FROM j WHERE starts_with(lower(full_ref), 'quillforthe, w.|') GROUP BY 1")
@@ -345,11 +440,6 @@ def archive_research(spark: SparkSession, folder: str) -> DataFrame:
     return archive.research(archive_metadata(spark, folder)).select("entry_name", "journal", "year", "n_authors")
 
 
-@_query()
-def header_vote(spark: SparkSession, folder: str) -> DataFrame:
-    return archive.head_votes(table(spark, folder, "jstor_page").where("elem = 'page'"))
-
-
 @_query("""SELECT CASE WHEN trim(l) = '' THEN 'empty' WHEN regexp_matches(trim(l), '^[0-9]+$') THEN 'page number' ELSE 'text' END AS kind, count(*) AS n
     FROM (SELECT unnest(string_split(replace(content, chr(13), ''), chr(10))) AS l FROM jstor_page) GROUP BY 1""")
 def line_kinds(spark: SparkSession, folder: str) -> DataFrame:
