@@ -232,25 +232,50 @@ def bib_network_authors(spark: SparkSession, folder: str) -> DataFrame:
     return graph.cocitation_network(_joined(spark, folder), "author", 20)
 
 
-@_query()  # SQL's levenshtein counts bytes here, not characters
+# SQL's levenshtein counts bytes, so every sign beyond ASCII is first written as one of few control signs.
+def _alike_sql(name: str, strings: str, least: float, edits: int) -> str:
+    """CTEs that end in `name` (a, b, cosine) over the query `strings` (one column s)."""
+    plain = "regexp_replace({}, '[^\\x00-\\x7f]', chr(1), 'g')"
+    return f"""
+    {name}_s AS (SELECT DISTINCT s FROM ({strings}) WHERE s IS NOT NULL), {name}_n AS (SELECT count(*) AS n FROM {name}_s),
+    {name}_g AS (SELECT s, substring(s, i, 3) AS g, count(*) AS tf FROM {name}_s, unnest(range(1, greatest(length(s) - 2, 1) + 1)) u(i) GROUP BY 1, 2),
+    {name}_i AS (SELECT g, ln((SELECT n FROM {name}_n)::DOUBLE / count(*)) + 1 AS idf FROM {name}_g GROUP BY 1),
+    {name}_w AS (SELECT s, g, tf * idf AS w FROM {name}_g JOIN {name}_i USING (g)), {name}_l AS (SELECT s, sqrt(sum(w * w)) AS norm FROM {name}_w GROUP BY 1),
+    {name}_p AS (SELECT a.s AS a, b.s AS b, sum(x.w * y.w) / (any_value(a.norm) * any_value(b.norm)) AS cosine FROM {name}_l a JOIN {name}_l b ON a.s < b.s AND abs(length(a.s) - length(b.s)) <= {edits}
+        JOIN {name}_w x ON x.s = a.s JOIN {name}_w y ON y.s = b.s AND y.g = x.g GROUP BY 1, 2),
+    {name} AS (SELECT a, b, cosine FROM {name}_p WHERE cosine >= {least} AND levenshtein({plain.format('a')}, {plain.format('b')}) <= {edits}
+        AND (levenshtein(a, b) <= {edits} OR (length(a) = length(b) AND len(list_filter(range(1, length(a) + 1), lambda i: a[i] <> b[i])) <= {edits}) OR length(a) <> length(b)))"""
+
+
+@_query(_DC + "," + _alike_sql("f", "SELECT author AS s FROM j", 0.5, 1) + " SELECT a, b, round(cosine, 6) AS cosine FROM f")
 def fuzzy_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    names = _joined(spark, folder).select("author").where("length(author) > 3")
-    return graph.alike_pairs(names, "author", 0.5, 1)
+    return graph.alike_pairs(_joined(spark, folder).select("author"), "author", 0.5, 1).withColumn("cosine", F.round("cosine", 6))
 
 
-@_query()
+_GROUPS = f"""{_DC.replace('WITH', 'WITH RECURSIVE')}, o AS (SELECT full_ref, count(DISTINCT doc_id) AS n FROM j WHERE full_ref IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+    t AS (SELECT full_ref AS s, TRY_CAST(string_split(full_ref, '|')[2] AS INT) IS NOT NULL AS art FROM o WHERE NOT contains(full_ref, '[no title captured]')),
+    {_alike_sql('fb', 'SELECT s FROM t WHERE NOT art', 0.7, 1)}, {_alike_sql('fa', 'SELECT s FROM t WHERE art', 0.8, 2)},
+    e AS (SELECT a, b FROM fb UNION ALL SELECT b, a FROM fb UNION ALL SELECT a, b FROM fa UNION ALL SELECT b, a FROM fa),
+    reach AS (SELECT full_ref AS x, full_ref AS y FROM o UNION SELECT x, e.b FROM reach JOIN e ON e.a = reach.y),
+    comp AS (SELECT x, min(y) AS component FROM reach GROUP BY 1),
+    best AS (SELECT component, arg_max(x, (n, x)) AS rep FROM comp JOIN o ON full_ref = x GROUP BY 1), groups AS (SELECT x AS full_ref, rep FROM comp JOIN best USING (component))"""
+
+
+@_query(_GROUPS + " SELECT full_ref, rep FROM groups")
 def group_reps(spark: SparkSession, folder: str) -> DataFrame:
     return graph.resolve_references(_joined(spark, folder))
 
 
-@_query()
+@_query(_DC.replace("WITH", "WITH RECURSIVE") + """, net AS (SELECT a.full_ref AS a, b.full_ref AS b FROM j a JOIN j b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref GROUP BY 1, 2 HAVING count(*) >= 8),
+    e AS (SELECT a, b FROM net UNION ALL SELECT b, a FROM net), reach AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT x, e.b FROM reach JOIN e ON e.a = reach.y)
+    SELECT x AS node, min(y) AS component FROM reach GROUP BY 1""")
 def reference_components(spark: SparkSession, folder: str) -> DataFrame:
     edges = graph.cocitation_network(_joined(spark, folder), "full_ref", 8)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     return graph.components(nodes, edges)
 
 
-@_query()
+@_query(_GROUPS + " SELECT coalesce(rep, j.full_ref) AS full_ref, count(DISTINCT doc_id) AS n FROM j LEFT JOIN groups g ON g.full_ref = j.full_ref WHERE j.full_ref IS NOT NULL GROUP BY 1")
 def citations_by_group(spark: SparkSession, folder: str) -> DataFrame:
     """Citations rewritten to the representative of their reference."""
     joined = _joined(spark, folder)
