@@ -5,13 +5,13 @@ pairs of neighbouring shapes, and pairs of neighbouring labels. It is trained by
 a small labelled table (`pii_examples`) and decoded by Viterbi for many windows at once in numpy. Because a token's
 score is a sum over its neighbours, it is computed once per distinct token and looked up.
 
-Only windows around places where something could begin are decoded: a text without two capitalised words or initials
-side by side, a long run of digits, a box or a mail sign cannot hold any of the types. The windows are found by one
-pass over the whole text; nothing is cut off, and windows that touch are one.
+Whole texts are decoded, token by token. Long ones are laid out in segments that overlap by OVERLAP tokens on either
+side; a label is taken from the segment that has its token farther inside, so that memory is bounded by the segment.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,12 +25,14 @@ from citeloom.llm.pii_examples import GIVEN, TITLES, labelled_sentences
 
 TYPES = ("name", "email", "phone", "id_number", "street_address")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
+_BEGINS = np.array([lab[0] == "B" for lab in LABELS])
 CELLS = 1 << 14
 NEAR = (-2, -1, 0, 1, 2)
-AROUND = 64  # characters of context on either side of an anchor
+SEGMENT, OVERLAP = 384, 64  # tokens
 
 # Words that tell addresses, titles and sentence openings that are no given names.
-STREET_WORDS = frozenset("street st road rd lane avenue ave court drive terrace close way square place blvd boulevard crescent row rue impasse calle avenida plaza chemin allee".split())
+STREET_WORDS = frozenset("street st road rd lane avenue ave court drive terrace close way square place blvd boulevard crescent row gardens hill walk rue impasse quai calle avenida plaza paseo chemin allee".split())
+STREET_ENDS = ("straße", "strasse", "gasse", "weg", "platz", "allee")
 FLAT_WORDS = frozenset("flat apt apartment suite unit box postfach apartado bp po p".split())
 OPENINGS = frozenset(
     "a after although and as at before between both but by contrary data das der des die du each earlier few for from he her his how i if in it its la le les el los las many "
@@ -43,51 +45,12 @@ _GIVEN = frozenset(g.lower() for g in GIVEN)
 _TITLES = frozenset(t.lower().rstrip(".") for t in TITLES)
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_UP = "A-ZÀ-ÖØ-ÞŁŚŠŽČ"
-_NAME = re.compile(
-    rf"[{_UP}](?<!\w.)[\w'’-]*\.?,?[ \n]+(?:(?:[Vv]an|[Vv]on|[Dd]e[rn]?|Mac|Mc|[Dd]i|[Dd]u|[Ll]a)[ \n]+)*[{_UP}][\w'’.-]*"
-)
-_OTHERS = (
-    re.compile(r"@|[(\[]\s?at\s?[)\]]"),
-    re.compile(r"\d[\d ./()-]{4,}\d"),
-    re.compile(r"(?:[Bb]ox|BOX|Postfach|Apartado|BP) \d"),
-    re.compile(r"(?:stra(?:ß|ss)e|gasse|weg|platz) \d"),
-    re.compile(r"\d[ ,]+(?:bis|ter)?,? ?(?:rue|avenue|place|impasse)\b"),
-    re.compile(r"(?:calle|Calle|avenida|plaza|C/) "),
-)
-_FIRST = re.compile(r"[\w'’-]+")
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Spans of the text that are decoded."""
-    at, found = 0, []
-    while (m := _NAME.search(text, at)) is not None:
-        first = _FIRST.match(m.group())
-        if first and first.group().lower() in OPENINGS:
-            at = m.start() + first.end()
-            continue
-        at = m.end()
-        found.append(m.span())
-    for anchor in _OTHERS:
-        found += [m.span() for m in anchor.finditer(text) if not m.group()[0].isdigit() or not m.group()[-1].isdigit() or sum(map(str.isdigit, m.group())) > 5]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        a, b = max(0, a - AROUND), min(len(text), b + AROUND)
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
 
 
 @lru_cache(maxsize=200_000)
 def _shape(word: str) -> str:
     out = ""
-    for c in word[:24]:
+    for c in word:
         k = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out.endswith(k * 3) or k == "9" and len(out) < 12:
             out += k
@@ -97,12 +60,12 @@ def _shape(word: str) -> str:
 def _token_features(word: str) -> list[str]:
     low = word.lower()
     shape = _shape(word)
-    feats = [f"s{shape}", f"w{low}", f"e{low[-3:]}", f"b{low[:2]}", f"n{min(len(word), 12)}"]
+    feats = [f"s{shape}", f"w{low}", f"e{low[-3:]}", f"b{low[:2]}", f"#{min(len(word), 12)}"]
     if low in _GIVEN:
         feats.append("given")
     if low in _TITLES:
         feats.append("title")
-    if low in STREET_WORDS or low.endswith(("straße", "strasse", "gasse", "weg")):
+    if low in STREET_WORDS or low.endswith(STREET_ENDS):
         feats.append("street")
     if low in FLAT_WORDS:
         feats.append("flat")
@@ -120,8 +83,8 @@ def _token_features(word: str) -> list[str]:
 _MOST = 12
 
 
-def _cells(word: str) -> list[int]:
-    own = [zlib.crc32(f.encode()) % (CELLS - 1) + 1 for f in _token_features(word)][:_MOST]
+def _cells(word: str, veiled: bool = False) -> list[int]:
+    own = [zlib.crc32(f.encode()) % (CELLS - 1) + 1 for f in _token_features(word) if not veiled or f[0] not in "web"][:_MOST]
     return own + [0] * (_MOST - len(own))
 
 
@@ -194,15 +157,17 @@ class _Numbering:
     """Numbers distinct tokens; 0 is padding."""
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[str | tuple[str, bool], int] = {}
         self.cells: list[list[int]] = [[0] * _MOST]
         self.shapes: list[int] = [0]
 
-    def number(self, word: str) -> int:
-        k = self.numbers.get(word)
+    def number(self, word: str, veiled: bool = False) -> int:
+        """A veiled token is seen by its shape and lists only, as a word never met would be."""
+        key = (word, veiled) if veiled else word
+        k = self.numbers.get(key)
         if k is None:
-            k = self.numbers[word] = len(self.cells)
-            self.cells.append(_cells(word))
+            k = self.numbers[key] = len(self.cells)
+            self.cells.append(_cells(word, veiled))
             self.shapes.append(_pair_shape(word))
         return k
 
@@ -215,30 +180,40 @@ def _padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def train(rounds: int = 16, epochs: int = 14, seed: int = 11) -> Field:
-    """Fit the field by AdaGrad on exact log-likelihood gradients (forward-backward) of small batches."""
-    numbering, rows, gold = _Numbering(), [], []
+def train(rounds: int = 40, epochs: int = 7, seed: int = 11, veil: float = 0.2) -> Field:
+    """Fit the field by AdaGrad on exact log-likelihood gradients (forward-backward) of small batches.
+
+    A share `veil` of the tokens is veiled, so that neighbours never met in training are nothing new.
+    """
+    numbering, rows, gold, chance = _Numbering(), [], [], random.Random(seed)
     for text, places in labelled_sentences(rounds, seed):
         spans = _tokens(text)
         labels = []
         for a, b in spans:
             hit = next((p for p in places if p[0] <= a and b <= p[1]), None)
             labels.append(0 if hit is None else LABELS.index(f"{'B' if a == hit[0] else 'I'}-{hit[2]}"))
-        rows.append([numbering.number(text[a:b]) for a, b in spans])
+        rows.append([numbering.number(text[a:b], chance.random() < veil and text[a:b].isalpha()) for a, b in spans])
         gold.append(labels)
     cells, shape_of = np.array(numbering.cells), np.array(numbering.shapes)
     order = np.argsort([len(r) for r in rows], kind="stable")
     batches = [(*_padded([rows[k] for k in part]), _padded([gold[k] for k in part])[0]) for part in np.array_split(order, -(-len(rows) // 64))]
-    field, random = Field(), np.random.default_rng(seed)
+    field, order_of = Field(), np.random.default_rng(seed)
     params = [field.near, field.pairs, field.trans]
     squares = [np.full_like(p, 1.0) for p in params]
+    means, taken = [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
-        for k in random.permutation(len(batches)):
+        for k in order_of.permutation(len(batches)):
             for p, g, q in zip(params, _gradients(field, cells, shape_of, *batches[k]), squares):
                 q += g * g
                 p += 0.5 * g / np.sqrt(q)
         field.near *= 0.995
         field.pairs *= 0.995
+        if epoch >= epochs // 2:  # the mean over the later rounds is steadier than any of them
+            taken += 1
+            for m, p in zip(means, params):
+                m += p
+    for m, p in zip(means, params):
+        p[...] = m / taken
     return field
 
 
@@ -293,36 +268,33 @@ def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, j], size) for j in range(values.shape[1])], axis=1).astype(np.float32)
 
 
-def tag(field: Field, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+def tag(field: Field, texts: list[str], segment: int = SEGMENT) -> list[list[tuple[int, int, str]]]:
     """Places (start, end, type) in each text."""
-    numbering, spans, rows = _Numbering(), [], []
-    for i, text in enumerate(texts):
-        for a, b in windows(text):
-            own = [(a + x, a + y) for x, y in _tokens(text[a:b])]
-            if own:
-                spans.append((i, own))
-                rows.append([numbering.number(text[x:y]) for x, y in own])
+    numbering, parts, rows, spans = _Numbering(), [], [], [_tokens(t) for t in texts]
+    for i, (text, own) in enumerate(zip(texts, spans)):
+        numbers = [numbering.number(text[x:y]) for x, y in own]
+        for core in range(0, len(own), segment):
+            low, high = max(0, core - OVERLAP), min(len(own), core + segment + OVERLAP)
+            parts.append((i, core, core - low, min(segment, len(own) - core)))
+            rows.append(numbers[low:high])
+    labels = [np.zeros(len(own), np.int8) for own in spans]
+    if rows:
+        table, shape_of = field.table(np.array(numbering.cells)), np.array(numbering.shapes)
+        order = np.argsort([len(r) for r in rows], kind="stable")
+        for lo in range(0, len(order), 256):
+            batch = order[lo : lo + 256]
+            grid, lengths = _padded([rows[k] for k in batch])
+            for k, row in zip(batch, field.viterbi(field.unary(table, grid, shape_of[grid]), lengths)):
+                i, core, skip, n = parts[k]
+                labels[i][core : core + n] = row[skip : skip + n]
     places: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    if not rows:
-        return places
-    table, shape_of = field.table(np.array(numbering.cells)), np.array(numbering.shapes)
-    order = np.argsort([len(r) for r in rows], kind="stable")
-    for lo in range(0, len(order), 256):
-        part = order[lo : lo + 256]
-        grid, lengths = _padded([rows[k] for k in part])
-        labels = field.viterbi(field.unary(table, grid, shape_of[grid]), lengths)
-        for k, row in zip(part, labels):
-            i, own = spans[k]
-            start = None
-            for (x, y), lab in zip([*own, (0, 0)], [*row[: len(own)], 0]):
-                name = LABELS[lab]
-                if start is not None and name[0] != "I":
-                    places[i].append((start[0], end, start[1]))
-                    start = None
-                if name[0] == "B":
-                    start = (x, name[2:])
-                end = y
-    return [sorted(p for p in ps if _plausible(t, *p)) for t, ps in zip(texts, places)]
+    for i, (own, row) in enumerate(zip(spans, labels)):
+        for b in np.flatnonzero(_BEGINS[row]):
+            e = b + 1
+            while e < len(row) and row[e] == row[b] + 1:  # the inner label of a type follows its first one
+                e += 1
+            places[i].append((own[b][0], own[e - 1][1], LABELS[row[b]][2:]))
+    return [[p for p in ps if _plausible(t, *p)] for t, ps in zip(texts, places)]
 
 
 def _plausible(text: str, a: int, b: int, kind: str) -> bool:
