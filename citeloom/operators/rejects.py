@@ -72,7 +72,9 @@ def classify_lines(df: DataFrame, line: str = "raw_line", line_no: str = "line_n
     schema = ", ".join(f"`{t}` STRING" for t in TAGS) + ", `_corrupt` STRING"
     options = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "maxCharsPerColumn": "-1"}
     text = F.regexp_replace(F.col(line), r"\r$", "")
-    rows = df.where(F.col(line).isNotNull() & (F.coalesce(F.col(line_no), F.lit(0)) != 1)).select(F.struct("*").alias("_row"), text.alias("_text"))
+    # Numbered names keep the input's columns apart from those that are made here.
+    numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    rows = df.where(F.col(line).isNotNull() & (F.coalesce(F.col(line_no), F.lit(0)) != 1)).select(*numbered, text.alias("_text"))
     rows = rows.where((F.trim("_text") != "") & (F.col("_text") != "\t".join(TAGS)))
     readable = (F.length("_text") - F.length(F.replace("_text", F.lit("\t"), F.lit(""))) < MOST_COLUMNS) & ~F.contains("_text", F.lit("\n"))
     parsed = once(rows, csv=F.from_csv(F.when(readable, F.col("_text")), schema, options), read=readable)
@@ -102,7 +104,7 @@ def classify_lines(df: DataFrame, line: str = "raw_line", line_no: str = "line_n
         )
     )
     # The permissive parser's own verdict stays as evidence beside the reasons.
-    kept = [F.col("_row").getField(c).alias(c) for c in df.columns if c not in ("fields", "parser_corrupt", "reasons")]
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c not in ("fields", "parser_corrupt", "reasons")]
     return read.select(*kept, at.alias("fields"), csv["_corrupt"].alias("parser_corrupt"), reasons.alias("reasons"))
 
 
