@@ -294,7 +294,7 @@ def split_packed(
             yield pd.DataFrame(rows, columns=["_key", "field", "no", "chunk", "context", "open"])
 
     key_type = df.schema[key].dataType.simpleString()
-    chunks = texts.mapInPandas(lex, f"_key {key_type}, field string, no int, chunk string, context int, open boolean")
+    chunks = cut(texts.mapInPandas(lex, f"_key {key_type}, field string, no int, chunk string, context int, open boolean"))  # read once
     lattices = cut(
         chunks.where("open").groupBy("field", "context", "chunk").agg(F.count("*").cast("double").alias("n"))
         .withColumn("cid", F.monotonically_increasing_id())
@@ -373,9 +373,9 @@ def split_packed(
             yield pd.DataFrame({"field": batch["field"], "context": batch["context"], "chunk": batch["chunk"], "items": items})
 
     chosen = counted(values).mapInPandas(choose, "field string, context int, chunk string, items array<string>")
-    parted = chunks.join(chosen, ["field", "context", "chunk"], "left").select(
-        "_key", "field", "no", F.posexplode(F.coalesce("items", F.array("chunk"))).alias("sub", "raw")
-    )
+    # Chunks without a choice keep their place; only lattices meet their paths.
+    parted = chunks.where("open").join(chosen, ["field", "context", "chunk"]).select("_key", "field", "no", F.posexplode("items").alias("sub", "raw"))
+    parted = parted.unionByName(chunks.where(~F.col("open")).select("_key", "field", "no", F.lit(0).alias("sub"), F.col("chunk").alias("raw")))
     raw = F.trim(F.regexp_replace("raw", r"^\s+|\s+$", ""))
     straight = raw.rlike(r'^"(?:[^"]++|"")*+"$') & (F.length(raw) > 1)
     curly = raw.rlike(r"^[“„].*[”“]$") & (F.length(raw) > 1)
