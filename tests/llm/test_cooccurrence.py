@@ -76,3 +76,26 @@ def test_surprise(spark):
     rows += [(b, x) for b in range(20) for x in ("pair1", "pair2")]
     marked = {(r.item_a, r.item_b) for r in cooccurrences(table(spark, rows), "doc_id", "full_ref", 3).where("surprising").collect()}
     assert ("pair1", "pair2") in marked and len(marked) < 6
+
+
+def test_false_discoveries_exactly(spark):
+    from citeloom.llm.cooccurrence import _benjamini_hochberg
+
+    rng = random.Random(5)
+    for spread in (1.0, 3.0, 30.0):
+        rows = [(10.0 ** -(rng.random() * spread), rng.randint(1, 9)) for _ in range(300)] + [(0.0, 2)]
+        tests = 3 * sum(k for _, k in rows)
+        want, below = 0.0, 0
+        for p, k in sorted(rows):
+            below += k
+            if p <= 0.05 * below / tests:
+                want = below
+        bound = _benjamini_hochberg(spark.createDataFrame(rows, "p_value double, k long"), tests, 0.05)
+        assert sum(k for p, k in rows if p <= bound) == want
+
+
+def test_model_with_certain_meetings():
+    """An item of all baskets and a basket of all items."""
+    model = ConfigurationModel.fit([(10, 10.0, 1), (3, 3.0, 4)], [(5, 5.0, 1), (2, 17 / 9, 9)])
+    assert np.allclose(model.p[0], 1.0) and np.allclose(model.p[:, 0], 1.0)
+    assert np.allclose(model.p @ model.baskets, [10.0, 3.0], rtol=1e-4)
