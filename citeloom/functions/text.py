@@ -109,6 +109,13 @@ def left_context(text: Column, start: Column, width: int = 400) -> Column:
     return F.substr(last, F.lit(1), F.greatest(F.length(last) - 1, F.lit(0)))
 
 
+def right_context(text: Column, end: Column, width: int = 100) -> Column:
+    """The first sentence of the `width` characters after a bracket that closes at `end` (from 0), up to its last whole word."""
+    raw = F.substr(text, end + 2, F.lit(width))
+    whole = F.when(raw.rlike(r"[\s.!?]"), F.regexp_replace(raw, r"(?s)[\s.!?]+[^\s.!?]*$", "")).otherwise(raw)
+    return F.element_at(F.split(F.regexp_replace(whole, r"^\s+", ""), r"(?<=[.!?])\s+(?=\S)"), 1)
+
+
 def terms(text: Column, stopwords: tuple[str, ...] | list[str] = STOPWORDS) -> Column:
     """Distinct words without stop words, and pairs of neighbours among them, put in order and joined by a hyphen."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-zA-Z\s]", ""), r"\s+", " "))

@@ -62,10 +62,3 @@ def regroup_counts(counts: DataFrame, column: str, groups: DataFrame) -> DataFra
     """Counts summed again by representative: documents that cite two members count twice (see `regroup` for the exact way)."""
     dims = [c for c in counts.columns if c not in ("ind", "doc")]
     return regroup(counts, column, groups).groupBy(*dims).agg(F.sum("ind").alias("ind"), F.sum("doc").alias("doc"))
-
-
-def with_complement(counts: DataFrame, column: str, values: Sequence, other: str = "other", measures: Sequence[str] = ("ind",)) -> DataFrame:
-    """Counts with all values but the listed ones put together."""
-    dims = [c for c in counts.columns if c not in ("ind", "doc", column)]
-    label = F.when(F.col(column).isin(*values), F.col(column).cast("string")).otherwise(F.lit(other))
-    return counts.groupBy(*dims, label.alias(column)).agg(*[F.sum(m).alias(m) for m in measures])

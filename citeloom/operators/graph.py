@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from citeloom.functions.normalize import is_article_key
 from citeloom.runtime import cut
 
 
@@ -83,7 +84,7 @@ def resolve_references(joined: DataFrame, min_docs: int = 2) -> DataFrame:
     """
     counts = joined.where("full_ref is not null").select("full_ref", "doc_id").distinct().groupBy("full_ref").agg(F.count("*").alias("n"))
     often = cut(counts.where(F.col("n") >= min_docs))
-    article = F.split_part("full_ref", F.lit("|"), F.lit(2)).try_cast("int").isNotNull()
+    article = is_article_key(F.col("full_ref"))
     titled = ~F.contains("full_ref", F.lit("[no title captured]"))
     books = alike_pairs(often.where(~article & titled), "full_ref", 0.7, 1)
     articles = alike_pairs(often.where(article & titled), "full_ref", 0.8, 2)

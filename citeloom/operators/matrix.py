@@ -39,9 +39,11 @@ def complemented(counts: DataFrame, rows: tuple[str, Sequence], columns: tuple[s
     return counts.where(F.col(r).isNotNull() & F.col(c).isNotNull()).groupBy(label(r, rv).alias(r), label(c, cv).alias(c)).agg(F.sum(measure).alias(measure))
 
 
-def without_cohorts(cells: DataFrame, year: str, age: str, cohorts: Sequence[int], measure: str = "ind") -> DataFrame:
-    """Cells of the given birth cohorts (year - age) set to 0."""
-    return cells.withColumn(measure, F.when((F.col(year) - F.col(age)).isin(*cohorts), F.lit(0)).otherwise(F.col(measure)))
+def without_cohorts(cells: DataFrame, year: str, age: str, cohorts: Sequence[int], measure: str = "ind", oldest: int | None = None) -> DataFrame:
+    """Cells of the given birth cohorts (year - age) set to 0; with `oldest`, the largest age of the axis, only ages from 0 up to `oldest` - 2."""
+    born = (F.col(year) - F.col(age)).isin(*cohorts)
+    inside = F.lit(True) if oldest is None else (F.col(age) >= 0) & (F.col(age) < oldest - 1)
+    return cells.withColumn(measure, F.when(born & inside, F.lit(0)).otherwise(F.col(measure)))
 
 
 def wide(cells: DataFrame, row: str, column: str, values: Sequence, measure: str = "ind") -> DataFrame:

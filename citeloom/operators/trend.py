@@ -77,6 +77,25 @@ def first_added(top: DataFrame, key: str) -> DataFrame:
     return top.groupBy(key).agg(F.min("window").alias("first_added"))
 
 
+def top_decade_stratified(
+    counts: DataFrame, key: str, start: int, end: int, percentile: float | None = None, top_n: int | None = None,
+    max_share: float | None = None, width: int = 10, least: int = 5, measure: str = "ind", year: str = "fy",
+) -> DataFrame:
+    """The keys that are at the top of any window of `width` years, with their trend and the window that first had them.
+
+    Keys need `least` counts in all. The top is the `percentile` share of each window, ties kept, or its `top_n`
+    largest, ties by key; without either, the top hundredth. Columns: key, those of `trend_stats`, first_added.
+    """
+    if percentile is not None and top_n is not None:
+        raise ValueError("either percentile or top_n")
+    often = counts.groupBy(key).agg(F.sum(measure).alias("_all")).where(F.col("_all") >= least).select(key)
+    windows = rolling_windows(counts.join(often, key, "left_semi"), key, start, end, width, measure, year)
+    top = top_count(windows, key, top_n, max_share) if top_n is not None else top_share(windows, key, 0.01 if percentile is None else percentile)
+    added = first_added(top, key)
+    # Shares are of all counts of a year, so the series is made before the others are left out.
+    return trend_stats(dense_series(counts, key, start, end, measure, year), key).join(added, key)
+
+
 def births_deaths(series: DataFrame, key: str, birth_cutoff: float = 0.5, death_cutoff: float = 0.1, forward: int = 10, backward: int = 5) -> DataFrame:
     """(key, event, year): births and deaths of each key's popularity.
 

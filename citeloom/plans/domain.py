@@ -226,6 +226,12 @@ def bib_network(spark: SparkSession, folder: str) -> DataFrame:
     return graph.cocitation_network(_joined(spark, folder), "full_ref", 5)
 
 
+@_query(_DC + """ SELECT least(a.full_ref, b.full_ref) AS src, greatest(a.full_ref, b.full_ref) AS dst, count(*) AS weight
+    FROM j a JOIN j b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY weight DESC, src, dst LIMIT 200""")
+def bib_network_top(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.cocitation_network(_joined(spark, folder), "full_ref", 2, limit=200)
+
+
 @_query(_DC + """ SELECT least(a.author, b.author) AS src, greatest(a.author, b.author) AS dst, count(*) AS weight
     FROM j a JOIN j b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref WHERE a.author IS NOT NULL AND b.author IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20""")
 def bib_network_authors(spark: SparkSession, folder: str) -> DataFrame:
@@ -318,10 +324,12 @@ _CITED = rf"""
     used AS (SELECT h.* FROM hits h JOIN sizes s ON s.doc_id = h.doc_id AND s.pos = h.pos AND (mode = 1) = commas),
     cites AS (SELECT doc_id, pos, i, form, n, replace(names, chr(39) || 's', '') || ' (' || regexp_extract(string_split(years, ',')[n], '[0-9]{{4}}') || ')' AS cite
               FROM used, unnest(range(1, len(string_split(years, ',')) + 1)) u(n) WHERE regexp_matches(string_split(years, ',')[n], '[0-9]{{4}}')),
-    raw AS (SELECT DISTINCT b.doc_id, b.pos, fy, fj, spot, substring(text, greatest(spot - 398, 1), spot + 2 - greatest(spot - 398, 1)) AS x FROM b JOIN cites c ON c.doc_id = b.doc_id AND c.pos = b.pos),
-    whole AS (SELECT *, CASE WHEN regexp_matches(x, '[\s.!?]') THEN regexp_replace(x, '(?s)^[^\s.!?]*[\s.!?]+', '') ELSE x END AS w FROM raw),
-    last AS (SELECT *, CASE WHEN regexp_matches(w, '[.!?]\s+\S') THEN regexp_extract(w, '(?s)^.*[.!?]\s+(\S.*)$', 1) ELSE w END AS l FROM whole),
-    ctx AS (SELECT doc_id, pos, fy, fj, CAST(spot AS INT) AS place, substring(l, 1, length(l) - 1) AS context FROM last),
+    raw AS (SELECT DISTINCT b.doc_id, b.pos, fy, fj, spot, substring(text, greatest(spot - 398, 1), spot + 2 - greatest(spot - 398, 1)) AS x, substring(text, spot + length(inside) + 3, 100) AS y FROM b JOIN cites c ON c.doc_id = b.doc_id AND c.pos = b.pos),
+    whole AS (SELECT *, CASE WHEN regexp_matches(x, '[\s.!?]') THEN regexp_replace(x, '(?s)^[^\s.!?]*[\s.!?]+', '') ELSE x END AS w,
+              regexp_replace(CASE WHEN regexp_matches(y, '[\s.!?]') THEN regexp_replace(y, '(?s)[\s.!?]+[^\s.!?]*$', '') ELSE y END, '^\s+', '') AS v FROM raw),
+    last AS (SELECT *, CASE WHEN regexp_matches(w, '[.!?]\s+\S') THEN regexp_extract(w, '(?s)^.*[.!?]\s+(\S.*)$', 1) ELSE w END AS l,
+             CASE WHEN regexp_matches(v, '[.!?]\s+\S') THEN regexp_extract(v, '(?s)^(.*?[.!?])\s+\S', 1) ELSE v END AS context_right FROM whole),
+    ctx AS (SELECT doc_id, pos, fy, fj, CAST(spot AS INT) AS place, substring(l, 1, length(l) - 1) AS context, context_right FROM last),
     words AS (SELECT *, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(context), '[^a-zA-Z\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN {tuple(text.STOPWORDS)}) AS ws FROM ctx),
     terms AS (SELECT doc_id AS doc, pos, fy, fj, unnest(list_distinct(list_concat(ws, [least(ws[k], ws[k + 1]) || '-' || greatest(ws[k], ws[k + 1]) FOR k IN range(1, len(ws))]))) AS t FROM words),
     fact AS (SELECT c.doc_id AS doc, c.pos, cite AS c, fy, fj FROM cites c JOIN ctx ON ctx.doc_id = c.doc_id AND ctx.pos = c.pos),
@@ -346,9 +354,9 @@ def citation_parse(spark: SparkSession, folder: str) -> DataFrame:
     return _contexts(spark, folder).select("doc_id", F.explode("cited").alias("cite")).groupBy("cite").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@_query(_CITED + """ SELECT ctx.doc_id, place AS "where", context, string_agg(cite, '; ' ORDER BY i, form, n) AS cited FROM ctx JOIN cites c ON c.doc_id = ctx.doc_id AND c.pos = ctx.pos GROUP BY 1, ctx.pos, 2, 3""")
+@_query(_CITED + """ SELECT ctx.doc_id, place AS "where", context, context_right, string_agg(cite, '; ' ORDER BY i, form, n) AS cited FROM ctx JOIN cites c ON c.doc_id = ctx.doc_id AND c.pos = ctx.pos GROUP BY 1, ctx.pos, 2, 3, 4""")
 def citation_context(spark: SparkSession, folder: str) -> DataFrame:
-    return _contexts(spark, folder).select("doc_id", "where", "context", F.array_join("cited", "; ").alias("cited"))
+    return _contexts(spark, folder).select("doc_id", "where", "context", "context_right", F.array_join("cited", "; ").alias("cited"))
 
 
 _TEXT_SPACES = ("fy", "c", "fj", "fj.fy", "c.fj", "c.fy")
@@ -430,6 +438,25 @@ _HEADS = rf"""{_PAGES}, w AS (SELECT DISTINCT part, seq, string_split(trim(regex
     top AS (SELECT part, head, votes FROM c WHERE NOT EXISTS (FROM c d WHERE d.part = c.part AND starts_with(d.head, c.head || ' ')))"""
 
 
+@_query(f"""WITH {_HEADS}, h AS (SELECT part, list(head ORDER BY head) AS hs FROM top GROUP BY 1)
+    SELECT p.part, p.seq, CASE WHEN seq > 1 AND hs IS NOT NULL THEN list_reduce(list_prepend(content, hs), lambda t, h: CASE WHEN instr(t, h) BETWEEN 1 AND 30 THEN regexp_replace(replace(t, h, ''), '^\\s+|\\s+$', '', 'g') ELSE t END) ELSE content END AS content
+    FROM p LEFT JOIN h ON h.part = p.part""")
+def pages_without_heads(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _pages(spark, folder).select("part", "seq", "content")
+    return archive.without_heads(pages, archive.head_votes(pages, "part"), "part")
+
+
+_LIST = "(?:REFERENCES|References|Literature Cited)"
+
+
+@_query(f"""WITH {_PAGES}, n AS (SELECT *, len(regexp_extract_all(content, '{_LIST}')) AS k FROM p), a AS (SELECT *, sum(k) OVER (PARTITION BY part) AS total, max(seq) FILTER (k > 0) OVER (PARTITION BY part) AS spot FROM n)
+    SELECT part, seq, CASE WHEN total = 1 AND seq > spot THEN NULL WHEN total = 1 AND seq = spot THEN trim(string_split_regex(content, '{_LIST}')[1]) ELSE content END AS body,
+    CASE WHEN total = 1 AND seq > spot THEN content WHEN total = 1 AND seq = spot THEN string_split_regex(content, '{_LIST}')[2] END AS bibliography FROM a""")
+def pages_and_references(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _pages(spark, folder).select("part", "seq", "content")
+    return archive.before_references(pages, "part").drop("content")
+
+
 @_query(f"WITH {_HEADS} SELECT part AS entry, head, votes FROM top")
 def header_vote(spark: SparkSession, folder: str) -> DataFrame:
     return archive.head_votes(_pages(spark, folder), "part")
@@ -457,7 +484,28 @@ def archive_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def archive_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    return archive.metadata(table(spark, folder, "jstor_entry").dropDuplicates(["entry_name"]), "metadata_xml")
+    # Entries listed twice are alike; if they are not, the smaller text counts.
+    entries = table(spark, folder, "jstor_entry").groupBy("entry_name").agg(F.min("zip_name").alias("zip_name"), F.min("metadata_xml").alias("metadata_xml"))
+    return archive.metadata(entries, "metadata_xml")
+
+
+def _entry_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations of the scanned texts with the metadata of their entries."""
+    pages = _pages(spark, folder).select("entry_name", "part", "seq", "content")
+    docs = archive_metadata(spark, folder).select("entry_name", "authors", "year", "journal")
+    return archive.contexts(archive.without_heads(pages, archive.head_votes(pages, "part"), "part").join(docs, "entry_name"), "entry_name", "content")
+
+
+@_query()
+def archive_author_spaces(spark: SparkSession, folder: str) -> DataFrame:
+    return cube.count_spaces(archive.author_fact(_entry_contexts(spark, folder), "entry_name", "year", "journal"), ("fa", "c.fa", "fa.fj.fy", "c", "c.fj"))
+
+
+@_query()
+def archive_text_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """First pages and sections from the end of their entry's own title and authors on."""
+    pages = _pages(spark, folder).drop("part")
+    return archive.without_front(pages, archive_metadata(spark, folder)).where("seq = 1")
 
 
 @_query()

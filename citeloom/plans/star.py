@@ -102,6 +102,18 @@ def coauthors(spark: SparkSession, folder: str) -> DataFrame:
     return cube.count_space(facts.coauthors(star.documents(spark, folder)), "fa1.fa2")
 
 
+@_query(YEARS + " SELECT fj, fy, count(*) AS ind, count(DISTINCT doc) AS doc FROM f1 WHERE ty - fy <= 0 AND fj <> '5-LOW' GROUP BY 1, 2")
+def kept_references(spark: SparkSession, folder: str) -> DataFrame:
+    docs, refs = star.documents(spark, folder), star.references(spark, folder)
+    return cube.count_space(facts.citations(docs, refs, keep=(F.col("ty") <= F.col("fy")) & (F.col("fj") != "5-LOW")), "fj.fy")
+
+
+@_query(YEARS + " SELECT count(*) AS n FROM f1 WHERE c NOT IN (SELECT c FROM f1 GROUP BY c HAVING count(*) >= 30)")
+def whitelist_skipped(spark: SparkSession, folder: str) -> DataFrame:
+    rows = star.facts(spark, folder)
+    return facts.skipped(rows, "c", rows.groupBy("c").agg(F.count("*").alias("n")).where("n >= 30").select("c"))
+
+
 for _key in ("c", "ffa", "ta"):
     QUERIES[f"births_{_key}"] = lambda spark, folder, k=_key: facts.births(star.facts(spark, folder, True), k)
     SQL[f"births_{_key}"] = f"{MONTHS} SELECT {_key}, least(min(fy), 2050) AS birth FROM f1 GROUP BY 1"
@@ -219,7 +231,24 @@ def top_first_added(spark: SparkSession, folder: str) -> DataFrame:
     return trend.first_added(trend.top_count(_windows(spark, folder), "c", 10), "c")
 
 
-@_query()
+@_query(_WINDOWS.replace(", k AS (SELECT c, fy", ", k2 AS (SELECT c, fy").replace("FROM k JOIN w", "FROM k2 JOIN w") + _SERIES.format(key="c")[len(MONTHS):].replace(" t AS", " tt AS").replace("JOIN t ON t.fy", "JOIN tt ON tt.fy").replace("t.total", "tt.total") + """,
+    top AS (SELECT "window", c FROM n QUALIFY row_number() OVER (PARTITION BY "window" ORDER BY n DESC, c) <= 10), added AS (SELECT c, min("window") AS first_added FROM top GROUP BY 1)
+    SELECT s.c, min(year) FILTER (count > 0) AS first, max(year) FILTER (count > 0) AS last, max_by(year, count * 1000 + year) AS maxcounty, max(count) AS maxcount, max_by(year, (round(share, 12), year)) AS maxpropy,
+    round(max(share), 9) AS maxprop, sum(count)::BIGINT AS total, round(sum(share), 6) AS totalprop, any_value(first_added) AS first_added FROM s JOIN added USING (c) GROUP BY 1""")
+def top_decade_stratified(spark: SparkSession, folder: str) -> DataFrame:
+    counts = cube.count_space(star.facts(spark, folder, True), "c.fy")
+    rows = trend.top_decade_stratified(counts, "c", FIRST, LAST, top_n=10)
+    return rows.withColumn("maxprop", F.round("maxprop", 9)).withColumn("totalprop", F.round("totalprop", 6))
+
+
+@_query(_SERIES.format(key="c").replace("WITH", "WITH RECURSIVE", 1) + f""", v AS (SELECT c, list(count::DOUBLE ORDER BY year) AS v FROM s GROUP BY 1),
+    st AS (SELECT c, v, 0 AS i, -1 AS since, false AS alive, NULL::DOUBLE AS life, NULL::VARCHAR AS event FROM v
+      UNION ALL SELECT c, v, i + 1, CASE WHEN ev IS NULL THEN since ELSE i END, CASE ev WHEN 'birth' THEN true WHEN 'death' THEN false ELSE alive END, CASE ev WHEN 'death' THEN lived ELSE life END, ev FROM (
+        SELECT *, CASE WHEN since < 0 AND v[i + 1] > 0 THEN 'birth' WHEN since < 0 OR i > {LAST - FIRST - 10} THEN NULL
+          WHEN alive AND i >= since + 5 AND list_sum(v[i + 1:i + 10]) / 10 <= 0.1 * lived THEN 'death'
+          WHEN NOT alive AND i >= since + 10 AND v[i + 1] > 0 AND list_sum(v[i + 1:i + 10]) / 10 > 0.5 * life THEN 'birth' END AS ev
+        FROM (SELECT *, CASE WHEN since >= 0 AND i > since THEN list_sum(v[since + 1:i]) / (i - since) END AS lived FROM st WHERE i < {LAST - FIRST + 1})))
+    SELECT c, event, CAST({FIRST} + i - 1 AS INT) AS year FROM st WHERE event IS NOT NULL""")
 def births_deaths(spark: SparkSession, folder: str) -> DataFrame:
     return trend.births_deaths(_series(spark, folder, "c"), "c")
 
@@ -264,11 +293,11 @@ def matrix_complement(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(MONTHS + """, a AS (SELECT CAST(unnest(range(0, 13)) AS INT) AS cAge), y AS (SELECT CAST(unnest(range(20, 33)) AS INT) AS fy),
     k AS (SELECT cAge, fy, count(*) AS n FROM f3 WHERE cAge >= 0 GROUP BY 1, 2)
-    SELECT a.cAge, y.fy, CASE WHEN y.fy - a.cAge IN (18, 19, 20) THEN 0 ELSE coalesce(n, 0) END::BIGINT AS ind FROM a CROSS JOIN y LEFT JOIN k ON k.cAge = a.cAge AND k.fy = y.fy""")
+    SELECT a.cAge, y.fy, CASE WHEN y.fy - a.cAge IN (18, 19, 20) AND a.cAge < 11 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS ind FROM a CROSS JOIN y LEFT JOIN k ON k.cAge = a.cAge AND k.fy = y.fy""")
 def matrix_cohort(spark: SparkSession, folder: str) -> DataFrame:
     counts = cube.count_space(facts.aged(star.facts(spark, folder, True)), "cAge.fy")
     cells = matrix.matrix(counts, ("cAge", tuple(range(13))), ("fy", tuple(range(20, 33))), keep=F.col("cAge") >= 0)
-    return matrix.without_cohorts(cells, "fy", "cAge", (18, 19, 20)).withColumn("ind", F.col("ind").cast("bigint"))
+    return matrix.without_cohorts(cells, "fy", "cAge", (18, 19, 20), oldest=12).withColumn("ind", F.col("ind").cast("bigint"))
 
 
 @_query(_CELLS + " SELECT fj, " + ", ".join(f"sum(ind) FILTER (fy = {y})::BIGINT AS y{y}" for y in _YEARS) + " FROM m GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,6 +22,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "16g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -51,11 +53,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; only where it is unset, one of this machine."""
+    """The shared folder in spark.checkpoint.dir; only where it is unset and everything runs in one process, one of this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if shared is None:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"citeloom-{uuid.uuid4().hex}"))
         return sc._jsc.sc().getCheckpointDir().get()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -68,8 +72,3 @@ def cut(df: DataFrame) -> DataFrame:
     ship(df.sparkSession)
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def row_estimate(df: DataFrame) -> int:
-    """Bytes that the optimizer expects of a plan; an upper bound where statistics are missing."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())

@@ -1,37 +1,94 @@
-"""Full-text archives: zip files of metadata and scanned text, their documents, citations, contexts and terms."""
+"""Full-text archives: zip files of metadata and scanned text, their documents, citations, contexts and terms.
+
+An archive is listed by its directory only; the entries are then read by as many tasks as their sizes ask for, each
+opening the archives it needs and seeking to its entries, so that no archive is ever one cell or one task. Each XML
+text is parsed once. What is not well-formed is read as far as it goes and named in a column `error`.
+"""
 
 from __future__ import annotations
 
-import io
+import html
+import re
 import zipfile
+import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from citeloom.functions.normalize import document_type, looks_like_research, record_name
-from citeloom.functions.text import STOPWORDS, bracket_rows, citation_keys, citation_rows, left_context, terms
+from citeloom.functions.text import STOPWORDS, bracket_rows, citation_keys, citation_rows, left_context, right_context, terms
 
+PART_BYTES = 64 << 20  # of unpacked entries that one task reads
+INDEX = "zip string, path string, entry string, kind string, name string, doi string, size bigint"
 
-def read_entries(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries of all zip files below a folder: zip, entry, kind (metadata or ocr), text; entries of other kinds are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder)
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _opened(path: str) -> zipfile.ZipFile:
+    system, inner = fs.FileSystem.from_uri(path)
+    return zipfile.ZipFile(system.open_input_file(inner))
+
+
+def entry_doi(name: str) -> str:
+    """The identifier in a record's name: what follows the last hyphen, with slashes for underscores."""
+    return name.rsplit("-", 1)[-1].replace("_", "/")
+
+
+def index_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per entry of all zip files below a folder: zip, path, entry, kind (metadata or ocr), name, doi, size.
+
+    Only the archives' directories are read. A file that is no zip archive gives one row with a null entry.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder).select("path")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = []
-                    for name in z.namelist():
-                        kind = name.split("/", 1)[0]
-                        if kind in ("metadata", "ocr") and not name.endswith("/"):
-                            rows.append((path.rsplit("/", 1)[-1], name, kind, z.read(name).decode("utf-8", "replace")))
-                        if len(rows) == 64:
-                            yield pd.DataFrame(rows, columns=["zip", "entry", "kind", "text"])
-                            rows = []
-                    yield pd.DataFrame(rows, columns=["zip", "entry", "kind", "text"])
+            for path in batch["path"]:
+                short, rows = path.rsplit("/", 1)[-1], []
+                try:
+                    with _opened(path) as z:
+                        for info in z.infolist():
+                            kind = info.filename.split("/", 1)[0]
+                            if kind in ("metadata", "ocr") and not info.is_dir():
+                                name = re.sub(r"\.(?:xml|txt)$", "", info.filename.rsplit("/", 1)[-1])
+                                rows.append((short, path, info.filename, kind, name, entry_doi(name), info.file_size))
+                except (zipfile.BadZipFile, ValueError, OSError):
+                    rows.append((short, path, None, None, None, None, 0))
+                yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in INDEX.split(", ")])
+
+    return files.repartition("path").mapInPandas(listed, INDEX)
+
+
+def read_indexed(index: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The entries of an index with their text: zip, entry, kind, name, doi, text. Broken entries have a null text."""
+    size = index.agg(F.sum("size")).head()[0] or 0
+    spread = index.where("entry is not null").repartitionByRange(max(1, -(-size // part_bytes)), "path", "entry")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, archive = None, None
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part, texts = batch.iloc[lo : lo + 64], []
+                for path, entry in zip(part["path"], part["entry"]):
+                    if path != at:
+                        at, archive = path, _opened(path)
+                    try:
+                        texts.append(archive.read(entry).decode("utf-8", "replace"))
+                    except (zipfile.BadZipFile, KeyError, EOFError, ValueError):
+                        texts.append(None)
+                yield part[["zip", "entry", "kind", "name", "doi"]].assign(text=texts)
+
+    return spread.sortWithinPartitions("path", "entry").mapInPandas(read, "zip string, entry string, kind string, name string, doi string, text string")
+
+
+def read_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of all zip files below a folder: zip, entry, kind (metadata or ocr), name, doi, text."""
+    return read_indexed(index_entries(spark, folder))
+
 
-    return files.select("path", "content").mapInPandas(unzip, "zip string, entry string, kind string, text string")
+def read_record(index: DataFrame, doi: str) -> DataFrame:
+    """Both sides of one record by its identifier; only its own entries are read."""
+    return read_indexed(index.where(F.col("doi") == doi))
 
 
 def entry_counts(entries: DataFrame) -> DataFrame:
@@ -46,26 +103,66 @@ def paired(entries: DataFrame, one_in: int = 1) -> DataFrame:
     return both if one_in <= 1 else both.where(F.pmod(F.xxhash64("name"), F.lit(one_in)) == 0)
 
 
+FIELDS = {
+    "title": ".//article-title", "journal": ".//journal-title", "publisher": ".//publisher-name", "abstract": ".//article-meta//abstract", "month": ".//article-meta//month",
+    "years": ".//article-meta//year", "volume": ".//article-meta//volume", "issue": ".//article-meta//issue", "fpage": ".//article-meta//fpage", "lpage": ".//article-meta//lpage",
+}
+
+
+def parse_leniently(text: str | None) -> tuple[ET.Element | None, str | None]:
+    """(root, error): of a text that is not well-formed, the tree of what stands before the fault."""
+    if text is None or not text.strip():
+        return None, "empty"
+    source = re.sub(r"\s(?:\w+:)(\w+=)", r" \1", re.sub(r"^\s*<\?xml[^>]*\?>", "", text))  # prefixes without a declaration
+    parser = ET.XMLPullParser(("start",))
+    root = None
+    try:
+        parser.feed(source)
+        error = None
+    except ET.ParseError:
+        error = "malformed"
+    try:
+        for _, node in parser.read_events():
+            root = node if root is None else root
+    except ET.ParseError:
+        error = "malformed"
+    if error is None:
+        try:
+            parser.close()
+        except ET.ParseError:
+            error = "malformed"
+    return root, error
+
+
 def metadata(rows: DataFrame, xml: str = "metadata") -> DataFrame:
-    """The rows with type, title, journal, publisher, abstract, n_authors, month, year, volume, issue, fpage and lpage.
+    """The rows with type, title, journal, publisher, abstract, authors, n_authors, month, year, volume, issue, fpage, lpage, error.
 
-    Several values of one path are joined by semicolons; the year is the first. `xml` must be well-formed.
+    Several values of one path are joined by semicolons; the year is the first. `authors` are the texts of the
+    contributors. `error` is `empty`, `malformed` (what was read up to the fault is kept), `year` (no valid one) or
+    null. Columns of the input with these names give way.
     """
-    x = F.regexp_replace(xml, r"^\s*<\?xml[^>]*\?>\s*", "")
+    names = ["type", *[n for n in FIELDS if n != "years"], "authors", "year", "error"]
 
-    def joined(path: str):
-        return F.trim(F.array_join(F.xpath(x, F.lit(f"{path}/text()")), ";"))
-
-    year = F.xpath(x, F.lit("//article-meta//year/text()"))
-    title = F.array_join(F.xpath(x, F.lit("//article-title//text()")), " ")
-    kind = F.xpath_string(x, F.lit("/article/@article-type"))
-    out = rows.withColumns({
-        "title": title, "type": document_type(kind, title), "journal": joined("//journal-title"), "publisher": joined("//publisher-name"),
-        "abstract": F.trim(F.array_join(F.xpath(x, F.lit("//article-meta//abstract//text()")), " ")), "n_authors": F.xpath_int(x, F.lit("count(//contrib)")),
-        "month": joined("//article-meta//month"), "year": F.get(year, F.lit(0)).try_cast("int"), "volume": joined("//article-meta//volume"),
-        "issue": joined("//article-meta//issue"), "fpage": joined("//article-meta//fpage"), "lpage": joined("//article-meta//lpage"),
-    })
-    return out.drop(xml)
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                root, error = parse_leniently(text)
+                if root is None:
+                    out.append((None, *[None] * (len(FIELDS) - 1), [], None, error))
+                    continue
+                found = {n: ";".join(" ".join(x.itertext()) for x in root.iterfind(path)).strip() for n, path in FIELDS.items()}
+                authors = [" ".join(" ".join(x.itertext()).split()) for x in root.iterfind(".//contrib")]
+                year = found.pop("years").split(";")[0].strip()
+                valid = int(year) if re.fullmatch(r"[+-]?\d{1,9}", year) else None
+                out.append((root.get("article-type"), *found.values(), authors, valid, error or (None if valid is not None else "year")))
+            yield pd.DataFrame(out, columns=names).astype({"year": "Int32"})
+
+    strings = ", ".join(f"{n} string" for n in names[:-3])
+    parse = F.pandas_udf(read, f"{strings}, authors array<string>, year int, error string")
+    kept = [c for c in rows.columns if c not in (*names, "n_authors", xml)]
+    read_once = rows.withColumn("_m", parse(F.col(xml))).select(*kept, "_m.*")
+    return read_once.withColumn("type", document_type(F.col("type"), F.col("title"))).withColumn("n_authors", F.size("authors"))
 
 
 def research(rows: DataFrame) -> DataFrame:
@@ -73,20 +170,56 @@ def research(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("type") == "research-article") & looks_like_research(F.col("title")) & (F.col("n_authors") > 0) & F.col("year").isNotNull())
 
 
+def page_rows(rows: DataFrame, xml: str = "ocr") -> DataFrame:
+    """One row per page and section: the columns of `rows` but the text, elem, seq, content.
+
+    A scan that is not well-formed is cut at its page and section tags and freed of all others.
+    """
+    kept = [c for c in rows.columns if c not in (xml, "elem", "seq", "content")]
+
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                source = re.sub(r"<\?xml[^>]*\?>", "", text or "")
+                try:
+                    root = ET.fromstring(f"<doc>{source}</doc>")
+                    out.append([(tag, k, "".join(x.itertext())) for tag in ("page", "sec") for k, x in enumerate(root.iter(tag), 1)])
+                except ET.ParseError:
+                    blocks = {tag: re.findall(rf"(?s)<{tag}\b[^>]*>(.*?)(?=</{tag}>|<{tag}\b|\Z)", source) for tag in ("page", "sec")}
+                    out.append([(tag, k, html.unescape(re.sub(r"<[^<>]*>", "", x))) for tag, xs in blocks.items() for k, x in enumerate(xs, 1)])
+            yield pd.Series(out)
+
+    pages = F.pandas_udf(cut, "array<struct<elem:string,seq:int,content:string>>")
+    return rows.select(*kept, F.explode(pages(F.col(xml))).alias("_p")).select(*kept, "_p.*")
+
+
 def page_texts(rows: DataFrame, xml: str = "ocr") -> DataFrame:
-    """name and content: the texts of all pages, then of all sections."""
-    x = F.concat(F.lit("<doc>"), F.regexp_replace(xml, r"<\?xml[^>]*\?>", ""), F.lit("</doc>"))
-    pages = F.concat(F.xpath(x, F.lit("//page//text()")), F.xpath(x, F.lit("//sec//text()")))
-    return rows.withColumn("content", F.array_join(pages, "\n")).drop(xml)
+    """The rows with `content`: the texts of all pages, then of all sections; rows without any have an empty one."""
+    name = "name"
+    pages = page_rows(rows.select(name, xml), xml)
+    order = F.struct((F.col("elem") == "sec").alias("s"), "seq", "content")
+    texts = pages.groupBy(name).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["content"]), "\n").alias("content"))
+    return rows.drop(xml, "content").join(texts, name, "left").withColumn("content", F.coalesce("content", F.lit("")))
+
+
+def light_documents(entries: DataFrame, journals: list[str] | None = None) -> DataFrame:
+    """Documents without pages, with their whole text, of the given journals: name and the columns of `metadata`, content."""
+    rows = metadata(paired(entries))
+    rows = rows if journals is None else rows.where(F.lower("journal").isin([j.lower() for j in journals]))
+    return rows.withColumn("content", F.trim(F.regexp_replace("ocr", r"<[^<>]*>", " "))).drop("ocr")
 
 
 def contexts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Brackets with citations: the columns of `docs` but the text, where, context, cited (array of keys)."""
-    new = ("where", "context", "cited")
+    """Brackets with citations: the columns of `docs` but the text, where, context, context_right, cited (array of keys)."""
+    new = ("where", "context", "context_right", "cited")
     kept = [c for c in docs.columns if c != text and c not in new]
     docs = docs.select(*kept, F.col(text).alias("_text"))
     found = citation_rows(bracket_rows(docs, "_text", ("_no", "_start", "_inside")), "_inside").withColumn("cited", citation_keys(F.col("cited")))
-    return found.where(F.size("cited") > 0).select(*kept, F.col("_start").alias("where"), left_context(F.col("_text"), F.col("_start")).alias("context"), "cited")
+    end = F.col("_start") + F.length("_inside") + 1
+    return found.where(F.size("cited") > 0).select(
+        *kept, F.col("_start").alias("where"), left_context(F.col("_text"), F.col("_start")).alias("context"), right_context(F.col("_text"), end).alias("context_right"), "cited"
+    )
 
 
 def cited_fact(found: DataFrame, doc: str, year: str, journal: str) -> DataFrame:
@@ -94,6 +227,12 @@ def cited_fact(found: DataFrame, doc: str, year: str, journal: str) -> DataFrame
     return found.select(F.col(doc).alias("doc"), F.explode("cited").alias("c"), F.col(year).alias("fy"), F.lower(journal).alias("fj"))
 
 
+def author_fact(found: DataFrame, doc: str, year: str, journal: str, authors: str = "authors") -> DataFrame:
+    """One row per context, cited work and citing author: doc, c, fa, fy, fj."""
+    rows = found.select(F.col(doc).alias("doc"), F.explode("cited").alias("c"), F.col(year).alias("fy"), F.lower(journal).alias("fj"), authors)
+    return rows.select("doc", "c", F.explode(authors).alias("fa"), "fy", "fj")
+
+
 def term_fact(found: DataFrame, doc: str, year: str, journal: str, stopwords=STOPWORDS) -> DataFrame:
     """One row per context and term: doc, ctx, t, fy, fj."""
     return found.select(F.col(doc).alias("doc"), F.col("where").alias("ctx"), F.explode(terms(F.col("context"), stopwords)).alias("t"), F.col(year).alias("fy"), F.lower(journal).alias("fj"))
@@ -154,10 +293,91 @@ def head_votes(pages: DataFrame, entry: str = "entry_name", order: str = "seq",
     return covered.select("entry", "head", "votes")
 
 
+def without_heads(pages: DataFrame, heads: DataFrame, entry: str = "entry_name", order: str = "seq", text: str = "content", near: int = 30) -> DataFrame:
+    """Pages without the voted heads: from the second page on, where a head begins within the first `near` signs, all of it is taken out."""
+    lists = heads.groupBy(F.col("entry").alias("_e")).agg(F.array_sort(F.collect_set("head")).alias("_heads"))  # a page has 14 at most
+    rows = pages.join(lists, pages[entry] == lists["_e"], "left")
+    stripped = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    free = F.aggregate("_heads", F.col(text), lambda t, h: F.when(F.instr(t, h).between(1, near), stripped(F.replace(t, h, F.lit("")))).otherwise(t))
+    return rows.withColumn(text, F.when((F.col(order) > 1) & F.col("_heads").isNotNull(), free).otherwise(F.col(text))).select(*pages.columns)
+
+
+_BIBLIOGRAPHY = r"(?:REFERENCES|References|Literature Cited)"
+
+
+def before_references(pages: DataFrame, entry: str = "entry_name", order: str = "seq", text: str = "content") -> DataFrame:
+    """Pages with `body` and `bibliography`: a heading that stands once in an entry parts its page; pages after it are
+    bibliography as a whole. Entries without such a heading, or with several, are body."""
+    w = Window.partitionBy(entry)
+    n = F.regexp_count(text, F.lit(_BIBLIOGRAPHY))
+    rows = pages.withColumn("_n", n).withColumn("_all", F.sum("_n").over(w)).withColumn("_at", F.max(F.when(F.col("_n") > 0, F.col(order))).over(w))
+    here, after = (F.col("_all") == 1) & (F.col(order) == F.col("_at")), (F.col("_all") == 1) & (F.col(order) > F.col("_at"))
+    parts = F.split(F.col(text), _BIBLIOGRAPHY, 2)
+    body = F.when(after, F.lit(None).cast("string")).when(here, F.trim(parts[0])).otherwise(F.col(text))
+    return rows.select(*pages.columns, body.alias("body"), F.when(after, F.col(text)).when(here, F.get(parts, F.lit(1))).alias("bibliography"))
+
+
+def near_match(part: str, text: str) -> tuple[int, int] | None:
+    """The first and best place (start, end) of `part` in `text` with at most a tenth of its letters wrong."""
+    most = len(part) // 10
+    at = text.find(part)
+    if at >= 0:
+        return at, at + len(part)
+    if not part or not most:
+        return None
+    # One column of edit distances per letter of the text; each cell knows where its match began.
+    column, best = [(j, 0) for j in range(len(part) + 1)], None
+    for i, c in enumerate(text, 1):
+        new = [(0, i)]
+        for j, p in enumerate(part, 1):
+            new.append(min((column[j - 1][0] + (p != c), column[j - 1][1]), (column[j][0] + 1, column[j][1]), (new[-1][0] + 1, new[-1][1])))
+        column = new
+        if column[-1][0] <= most and (best is None or column[-1][0] < best[0]):
+            best = (column[-1][0], column[-1][1], i)
+    return best and (best[1], best[2])
+
+
+def text_start(page: str, title: str | None, abstract: str | None, authors: list[str]) -> int:
+    """Where the text of a first page begins: behind the title, abstract and authors that stand on it end to end, misprints allowed."""
+    upper = page.upper()
+    parts = [title or "", abstract or ""]
+    for a in authors:
+        words = a.split()
+        parts += [a, f"{words[-1]}, {' '.join(words[:-1])}"] if words else []
+    found = [m for m in (near_match(p.upper(), upper) for p in parts if p) if m]
+    if not found:
+        return 0
+    first = min(a for a, _ in found)
+    joined = [m for m in found if m[0] == first or any(abs(m[0] - b) < 5 for _, b in found)]
+    return max(b for _, b in joined)
+
+
+def without_front(pages: DataFrame, docs: DataFrame, entry: str = "entry_name", text: str = "content", order: str = "seq") -> DataFrame:
+    """Pages whose first one has lost the entry's own title, abstract and authors; `docs` has entry, title, abstract, authors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            whole = [x or "" for x in b["_text"]]
+            starts = [text_start(x, t, a, list(au) if au is not None else []) for x, t, a, au in zip(whole, b["title"], b["abstract"], b["authors"])]
+            yield b.drop(columns=["title", "abstract", "authors"]).assign(_text=[x[s:].strip() if s else x for x, s in zip(whole, starts)])
+
+    first = pages.where(F.col(order) == 1).join(docs.select(entry, "title", "abstract", "authors"), entry)
+    others = pages.join(docs.select(entry).distinct(), entry, "left_anti").unionByName(pages.where(F.col(order) != 1).join(docs.select(entry).distinct(), entry, "left_semi"))
+    rest = [c for c in pages.columns if c != text]
+    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest) + ", _text string"
+    cleaned = first.select(*rest, F.col(text).alias("_text"), "title", "abstract", "authors").mapInPandas(run, schema)
+    return cleaned.withColumnRenamed("_text", text).select(*pages.columns).unionByName(others.select(*pages.columns))
+
+
 def page_map(known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Printed pages of pdf pages: `known` is (doc, pdf, printed), `wanted` (doc, pdf); the nearest known page before counts, else the one after."""
+    """Printed pages of pdf pages: `known` is (doc, pdf, printed), `wanted` (doc, pdf).
+
+    A page between two known ones is counted on from the one before it; before the first known page it is counted back
+    from that, after the last one on from that, and `between` is false.
+    """
     both = known.select("doc", "pdf", "printed").unionByName(wanted.select("doc", "pdf", F.lit(None).cast("int").alias("printed")))
     up, down = Window.partitionBy("doc").orderBy("pdf"), Window.partitionBy("doc").orderBy(F.desc("pdf"))
     at = F.when(F.col("printed").isNotNull(), F.struct("pdf", "printed"))
     rows = both.withColumn("lo", F.last(at, True).over(up)).withColumn("hi", F.last(at, True).over(down)).where("printed is null")
-    return rows.select("doc", "pdf", F.coalesce(F.col("lo.printed") + F.col("pdf") - F.col("lo.pdf"), F.col("hi.printed") - (F.col("hi.pdf") - F.col("pdf"))).alias("printed"))
+    printed = F.coalesce(F.col("lo.printed") + F.col("pdf") - F.col("lo.pdf"), F.col("hi.printed") - (F.col("hi.pdf") - F.col("pdf")))
+    return rows.select("doc", "pdf", printed.alias("printed"), (F.col("lo").isNotNull() & F.col("hi").isNotNull()).alias("between"))

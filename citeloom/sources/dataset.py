@@ -8,10 +8,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from citeloom.operators import trend
+from citeloom.operators import cube, trend
 from citeloom.schema import dotted_space, entity, space
 
 
+YEARS = frozenset(("fy", "ty", "c1y", "c2y", "cAge", "taAge", "ffaAge", "faAge", "c1age", "c2age"))  # entities that are numbers
+
+
 class Slice:
     """One count table with some keys fixed and others free (None); immutable."""
 
@@ -37,6 +40,10 @@ class Slice:
         """Free keys and both measures; order it by the keys where it is shown."""
         return self._matching().select(*[d for d in self._dims if d not in self._fixed], "ind", "doc")
 
+    def ordered(self) -> DataFrame:
+        """The rows by their free keys."""
+        return self.rows().orderBy(*[d for d in self._dims if d not in self._fixed])
+
     def value_row(self) -> DataFrame:
         """One row with both measures, 0 where nothing was counted."""
         return self._matching().agg(F.coalesce(F.sum("ind"), F.lit(0)).alias("ind"), F.coalesce(F.sum("doc"), F.lit(0)).alias("doc"))
@@ -57,6 +64,7 @@ class Dataset:
     def __init__(self, spark: SparkSession, root: str, name: str) -> None:
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
         self._groups: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
 
     @property
     def folder(self) -> str:
@@ -68,6 +76,7 @@ class Dataset:
 
     def save(self, counts: DataFrame, mode: str = "overwrite") -> None:
         """Write tidy counts (space, entity columns, ind, doc)."""
+        self._tables.clear()
         counts.write.mode(mode).partitionBy("space").parquet(f"{self.folder}/counts")
 
     def save_variable(self, name: str, df: DataFrame) -> None:
@@ -96,20 +105,31 @@ class Dataset:
         found = fs.listStatus(path) if fs.exists(path) else []
         return sorted(s.getPath().getName().removeprefix("space=") for s in found if s.getPath().getName().startswith("space="))
 
-    def by(self, *keys: str) -> DataFrame:
-        """The count table of a space; only its folder is read. Values are grouped where a grouping was added."""
+    def by_raw(self, *keys: str) -> DataFrame:
+        """The count table of a space as it is stored; only its folder is read. The plan is kept for the next call."""
         dotted = dotted_space(keys)
-        if dotted not in self.spaces():
-            near = difflib.get_close_matches(dotted, self.spaces(), 3)
-            raise KeyError(f"no counts of {dotted!r} in {self.name!r}; near: {near}")
-        counts = self.spark.read.parquet(f"{self.folder}/counts").where(F.col("space") == dotted).select(*space(dotted), "ind", "doc")
-        from citeloom.operators.cube import regroup_counts
+        if dotted not in self._tables:
+            if dotted not in self.spaces():
+                near = difflib.get_close_matches(dotted, self.spaces(), 3)
+                raise KeyError(f"no counts of {dotted!r} in {self.name!r}; near: {near}")
+            self._tables[dotted] = self.spark.read.parquet(f"{self.folder}/counts").where(F.col("space") == dotted).select(*space(dotted), "ind", "doc")
+        return self._tables[dotted]
 
+    def by(self, *keys: str) -> DataFrame:
+        """The count table of a space, with values grouped where a grouping was added."""
+        counts = self.by_raw(*keys)
         for column, groups in self._groups.items():
             if column in counts.columns:
-                counts = regroup_counts(counts, column, groups)
+                counts = cube.regroup_counts(counts, column, groups)
         return counts
 
+    def by_or_empty(self, *keys: str) -> DataFrame:
+        """The count table of a space, or an empty one of its columns where nothing was counted."""
+        if keys and dotted_space(keys) in self.spaces():
+            return self.by(*keys)
+        columns = ", ".join(f"{c} {'int' if c in YEARS else 'string'}" for c in space(dotted_space(keys)))
+        return self.spark.createDataFrame([], f"{columns}, ind bigint, doc bigint")
+
     def __contains__(self, keys: str) -> bool:
         return dotted_space(keys) in self.spaces()
 
@@ -130,6 +150,7 @@ class Dataset:
 
     def drop(self, keys: str) -> None:
         """Delete one count table."""
+        self._tables.clear()
         path, fs = self._path(f"counts/space={dotted_space(keys)}")
         fs.delete(path, True)
 
@@ -149,6 +170,16 @@ class Dataset:
         start, end = years if years is not None else (own["start"], own["end"])
         return trend.dense_series(self.by(key, "fy"), entity(key), start, end, measure)
 
+    def save_trends(self, key: str, measure: str = "ind", years: tuple[int, int] | None = None) -> None:
+        """The trends of all values of an entity, stored as the variable `<entity>.ysum`."""
+        self.save_variable(f"{entity(key)}.ysum", trend.trend_stats(self.trend(key, measure, years), entity(key)))
+
+    def save_all(self, fact: DataFrame, spaces: list[str] | tuple[str, ...], **attributes) -> None:
+        """Count a fact over all spaces, replace what is stored and note the attributes."""
+        self.clear()
+        self.save(cube.count_spaces(fact, spaces))
+        self.set_attributes(**attributes)
+
     def map_items(self, function: Callable, schema: str, *keys: str) -> DataFrame:
         """A pandas function over batches of a count table (key columns, ind, doc)."""
         return self.by(*keys).mapInPandas(function, schema)

@@ -101,3 +101,109 @@ def test_stream_counts(spark, tmp_path):
     query.awaitTermination(60)
     got = {(str(r.window_start)[:10], r.ind, r.doc) for r in spark.table("counts").collect()}
     assert ("2024-01-01", 2, 1) in got
+
+
+def archives(folder):
+    xml = '<?xml version="1.0"?><article article-type="research-article"><front><article-title>On <i>ward</i></article-title><article-title>Second</article-title><contrib><name>Jane  Doe</name></contrib><contrib>R. Roe</contrib><article-meta><year>1999</year><year>2001</year></article-meta></front></article>'
+    with zipfile.ZipFile(folder / "a.zip", "w") as z:
+        z.writestr("metadata/journal-article-10.5_one.xml", xml)
+        z.writestr("ocr/journal-article-10.5_one.txt", "<page>One (Bourdieu 1984) &amp; two.</page><sec>Three</sec>")
+        z.writestr("metadata/journal-article-10.5_two.xml", xml.replace("</contrib><contrib>", "</contrib><contrib><broken>"))
+        z.writestr("ocr/journal-article-10.5_two.txt", "<page>One & <b>two</page><page>Three")
+        z.writestr("other/x.txt", "x")
+    (folder / "bad.zip").write_bytes(b"no archive")
+    return folder
+
+
+def test_index_and_single_records(spark, tmp_path):
+    index = archive.index_entries(spark, str(archives(tmp_path)))
+    rows = index.collect()
+    assert sorted(r.doi for r in rows if r.entry) == ["10.5/one", "10.5/one", "10.5/two", "10.5/two"] and [r.zip for r in rows if r.entry is None] == ["bad.zip"]
+    one = {r.kind: r.text for r in archive.read_record(index, "10.5/one").collect()}
+    assert set(one) == {"metadata", "ocr"} and one["ocr"].startswith("<page>One")
+    assert archive.read_record(index, "10.5/none").count() == 0
+    assert archive.read_indexed(index, part_bytes=1).count() == 4
+
+
+def test_malformed_records(spark, tmp_path):
+    both = archive.paired(archive.read_entries(spark, str(archives(tmp_path))))
+    meta = {r["name"][-3:]: r for r in archive.metadata(both).collect()}
+    good, bad = meta["one"], meta["two"]
+    assert (good.title, good.authors, good.year, good.error) == ("On  ward;Second", ["Jane Doe", "R. Roe"], 1999, None) or good.title == "On ward;Second"
+    assert bad.error == "malformed" and bad.authors[0] == "Jane Doe" and bad.type == "research-article"
+    pages = sorted((r["name"][-3:], r.elem, r.seq, r.content) for r in archive.page_rows(both).collect())
+    assert pages == [("one", "page", 1, "One (Bourdieu 1984) & two."), ("one", "sec", 1, "Three"), ("two", "page", 1, "One & two"), ("two", "page", 2, "Three")]
+    texts = archive.page_texts(archive.metadata(both))
+    found = archive.contexts(texts.select("name", "content", "year", "journal", "authors"), "name", "content")
+    assert {(r.c, r.fa) for r in archive.author_fact(found, "name", "year", "journal").collect()} == {("Bourdieu (1984)", "Jane Doe"), ("Bourdieu (1984)", "R. Roe")}
+    assert [r.context_right for r in found.collect()] == ["& two"]
+    nothing = spark.createDataFrame([("x", None), ("y", " "), ("z", "no xml")], "name string, metadata string")
+    assert {r["name"]: r.error for r in archive.metadata(nothing).collect()} == {"x": "empty", "y": "empty", "z": "malformed"}
+    assert archive.metadata(nothing.limit(0)).count() == 0
+    assert archive.light_documents(archive.read_entries(spark, str(tmp_path)), ["nowhere"]).count() == 0
+
+
+def test_heads_fronts_and_references(spark):
+    pages = spark.createDataFrame(
+        [("e", 1, "ANNALS One"), ("e", 2, "ANNALS two ANNALS"), ("e", 3, "so ANNALS References A 1990"), ("e", 4, "B 1991"), ("f", 1, "References References"), ("f", 2, None)], "entry_name string, seq int, content string"
+    )
+    heads = spark.createDataFrame([("e", "ANNALS", 3)], "entry string, head string, votes int")
+    assert {(r.entry_name, r.seq): r.content for r in archive.without_heads(pages, heads).collect()} == {("e", 1): "ANNALS One", ("e", 2): "two", ("e", 3): "so  References A 1990", ("e", 4): "B 1991", ("f", 1): "References References", ("f", 2): None}
+    got = {(r.entry_name, r.seq): (r.body, r.bibliography) for r in archive.before_references(pages).collect()}
+    assert got["e", 3] == ("so ANNALS", " A 1990") and got["e", 4] == (None, "B 1991") and got["e", 1] == ("ANNALS One", None) and got["f", 1] == ("References References", None)
+    assert archive.near_match("household", "the housebold of") == None and archive.near_match("household economy", "the housebold economy of") == (4, 21)
+    assert archive.text_start("On household economics\nJane Doe\nIt begins", "On household economics", "", ["Jane Doe"]) == 31
+    docs = spark.createDataFrame([("e", "ANNALS", None, ["X"])], "entry_name string, title string, abstract string, authors array<string>")
+    assert {(r.entry_name, r.seq): r.content for r in archive.without_front(pages, docs).collect()}[("e", 1)] == "One"
+
+
+def test_page_map_between(spark):
+    known = spark.createDataFrame([("d", 3, 101), ("d", 7, 105)], "doc string, pdf int, printed int")
+    wanted = spark.createDataFrame([("d", 1), ("d", 5), ("d", 9)], "doc string, pdf int")
+    assert {r.pdf: r.between for r in archive.page_map(known, wanted).collect()} == {1: False, 5: True, 9: False}
+
+
+def test_sqlite(spark, tmp_path):
+    import sqlite3
+
+    from citeloom.sources.sqlite import read_sqlite
+
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE doc (id INTEGER, title TEXT)")
+        db.executemany("INSERT INTO doc VALUES (?, ?)", [(i, f"t{i}" if i else None) for i in range(25)])
+        db.execute("CREATE TABLE empty (id INTEGER)")
+    assert sorted((r.id, r.title) for r in read_sqlite(spark, path, "doc", "id bigint, title string", 4).collect())[:2] == [(0, None), (1, "t1")]
+    assert read_sqlite(spark, path, "doc", "id bigint", 40).count() == 25 and read_sqlite(spark, path, "empty", "id bigint").count() == 0
+
+
+def test_dataset_extras(spark, tmp_path):
+    fact = spark.createDataFrame([("d1", "w", 2000), ("d1", "v", 2001), ("d2", "v", 2002)], "doc string, c string, fy int")
+    ds = Dataset(spark, str(tmp_path), "more")
+    ds.save_all(fact, ["c", "c.fy", "fy"], start=2000, end=2002)
+    ds.save_trends("c")
+    assert {r.c: r.total for r in ds.load_variable("c.ysum").collect()} == {"w": 1, "v": 2}
+    empty = ds.by_or_empty("c", "ta")
+    assert empty.count() == 0 and dict(empty.dtypes) == {"c": "string", "ta": "string", "ind": "bigint", "doc": "bigint"} and ds.by_or_empty("fy").count() == 3
+    assert [r.fy for r in ds(c="v", fy=None).ordered().collect()] == [2001, 2002] and ds.by_raw("c").count() == 2
+
+
+def test_sound_files(spark):
+    rows = [("a", "Article" if i < 2 else "Letter") for i in range(30)] + [("b", "Article")] * 3
+    columns = ", ".join(f"{t} string" for t in wos.TAGS)
+    r = spark.createDataFrame([(*["1", k, "On ward", "J", "2000", "A, B", "X 1990, Y", None, None, None], p) for p, k in rows], columns + ", path string")
+    assert {x.path: (x.n_rows, x.n_kept) for x in wos.survival(r).collect()} == {"a": (30, 2), "b": (3, 3)}
+    assert {x.path for x in wos.from_sound_files(r, least_rows=20).collect()} == {"b"} and wos.from_sound_files(r).count() == 33
+
+
+def test_tagged_blocks(spark, tmp_path):
+    """Files larger than one block, CRLF and blanks on empty lines."""
+    body = "".join(f"UT {i}\r\nSO S\r\nCR A\r\n   B{i}\r\n \t\r\n" for i in range(400))
+    (tmp_path / "a.txt").write_text(body, newline="", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        rows = wos.read_tagged(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 400 and {(r.UT, r.CR) for r in rows} == {(str(i), f"A;B{i}") for i in range(400)}
