@@ -29,6 +29,7 @@ _BEGINS = np.array([lab[0] == "B" for lab in LABELS])
 CELLS = 1 << 14
 NEAR = (-2, -1, 0, 1, 2)
 SEGMENT, OVERLAP = 384, 64  # tokens
+KEPT = 200_000  # distinct tokens whose scores a worker keeps, 50 MB
 
 # Words that tell addresses, titles and sentence openings that are no given names.
 STREET_WORDS = frozenset("street st road rd lane avenue ave court drive terrace close way square place blvd boulevard crescent row gardens hill walk rue impasse quai calle avenida plaza paseo chemin allee".split())
@@ -268,23 +269,51 @@ def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, j], size) for j in range(values.shape[1])], axis=1).astype(np.float32)
 
 
-def tag(field: Field, texts: list[str], segment: int = SEGMENT) -> list[list[tuple[int, int, str]]]:
+class Tagger:
+    """A field with the scores of the tokens it has met; forgets them when they are more than KEPT."""
+
+    def __init__(self, field: Field) -> None:
+        self.field = field
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbering = _Numbering()
+        self.scores = self.field.table(np.array(self.numbering.cells))
+        self.shapes = np.array(self.numbering.shapes)
+
+    def numbers(self, words: list[str]) -> list[int]:
+        known, number = self.numbering.numbers, self.numbering.number
+        return [k if (k := known.get(w)) is not None else number(w) for w in words]
+
+    def learn(self) -> None:
+        """Scores of the tokens that are new since the last time."""
+        had = len(self.shapes)
+        if had < len(self.numbering.shapes):
+            self.scores = np.concatenate([self.scores, self.field.table(np.array(self.numbering.cells[had:]))], axis=1)
+            self.shapes = np.array(self.numbering.shapes)
+
+
+def tag(field: Field | Tagger, texts: list[str], segment: int = SEGMENT) -> list[list[tuple[int, int, str]]]:
     """Places (start, end, type) in each text."""
-    numbering, parts, rows, spans = _Numbering(), [], [], [_tokens(t) for t in texts]
+    tagger = field if isinstance(field, Tagger) else Tagger(field)
+    field = tagger.field
+    if len(tagger.shapes) > KEPT:
+        tagger.forget()
+    parts, rows, spans = [], [], [_tokens(t) for t in texts]
     for i, (text, own) in enumerate(zip(texts, spans)):
-        numbers = [numbering.number(text[x:y]) for x, y in own]
+        numbers = tagger.numbers([text[x:y] for x, y in own])
         for core in range(0, len(own), segment):
             low, high = max(0, core - OVERLAP), min(len(own), core + segment + OVERLAP)
             parts.append((i, core, core - low, min(segment, len(own) - core)))
             rows.append(numbers[low:high])
     labels = [np.zeros(len(own), np.int8) for own in spans]
     if rows:
-        table, shape_of = field.table(np.array(numbering.cells)), np.array(numbering.shapes)
+        tagger.learn()
         order = np.argsort([len(r) for r in rows], kind="stable")
         for lo in range(0, len(order), 256):
             batch = order[lo : lo + 256]
             grid, lengths = _padded([rows[k] for k in batch])
-            for k, row in zip(batch, field.viterbi(field.unary(table, grid, shape_of[grid]), lengths)):
+            for k, row in zip(batch, field.viterbi(field.unary(tagger.scores, grid, tagger.shapes[grid]), lengths)):
                 i, core, skip, n = parts[k]
                 labels[i][core : core + n] = row[skip : skip + n]
     places: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -324,10 +353,11 @@ def find_places(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shared = sc.broadcast(field)  # its size is fixed by CELLS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(shared.value)
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.iloc[lo : lo + 512]
-                found = tag(shared.value, part["t"].tolist())
+                found = tag(tagger, part["t"].tolist())
                 rows = [(d, k, a, b) for d, ps in zip(part["d"], found) for a, b, k in ps]
                 yield pd.DataFrame(rows, columns=["d", "pii_type", "start_pos", "end_pos"])
 
@@ -341,10 +371,11 @@ def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(field.value)
         for batch in batches:
             texts = [t or "" for t in batch["t"]]
             out, counts = [], []
-            for t, ps in zip(texts, tag(field.value, texts)):
+            for t, ps in zip(texts, (ps for lo in range(0, len(texts), 512) for ps in tag(tagger, texts[lo : lo + 512]))):
                 bits, at = [], 0
                 for a, b, k in ps:
                     bits += [t[at:a], f"[{k.upper()}]"]
