@@ -1,14 +1,18 @@
-"""Several values packed in one field, split into one row per value.
+"""Several values packed in one field, split into one value per row.
 
-A field is first cut at separators that never belong to a value (semicolon, bar, line break ...); quoted spans are
-atomic. What remains between two such cuts may hold weak separators (comma, "and") that sometimes separate values
-and sometimes belong to one. Each such chunk is a lattice whose edges are candidate values. Expectation-maximisation
-over the whole column learns how often each value occurs, how values look (words by their place in a value, word
-shapes, number of parts) and how often each weak separator separates; Viterbi paths then choose the splits.
+Every separator is an edge choice of a lattice: it cuts or it belongs to a value. Quoted spans are atomic. Expectation-
+maximisation over the whole column learns how often each value occurs, how values look (words by their place in a
+value, word shapes, number of parts) and how often each kind of separator cuts; Viterbi paths then choose the splits.
 
-Value frequencies stay distributed and meet the lattices in a join; only tables of fixed size (hashed word cells,
-shapes, parts, separators) are sent to the workers. Chunks are de-duplicated first, so that a text repeated in a
-third of all rows is one lattice.
+The lattice is walked on two levels. Kinds that mostly cut (semicolon, bar, line break, tab, spaced slash) link pieces
+of a text: given how often a kind cuts, whether it does at one place only depends on whether the words behind it are
+such as begin values or such as go on with them, so that each of these edges is judged once for each distinct piece.
+What stands between the chosen cuts may hold separators that often belong to values (comma, "and"); each such chunk is
+a small lattice over its candidate values, with an open end for values of any number of parts.
+
+Value frequencies stay distributed and meet the small lattices in a join; only tables of fixed size (hashed word cells,
+shapes, parts, separators) are sent to the workers. Chunks are de-duplicated first, so that a text repeated in a third
+of all rows is one lattice.
 """
 
 from __future__ import annotations
@@ -21,13 +25,16 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field as dc_field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citeloom.runtime import cut
 
 CELLS = 1 << 15  # word statistics are hashed into so many cells per place in a value; bounds what the driver gathers
 PLACES = 8  # first part or later part; alone, first, middle or last word in it
-HARD = r";|\||\r?\n|\r|\t|\s//?\s"
+STRONG = (";", r"\|", r"\r?\n|\r", r"\t", r"\s//?\s")  # kinds that mostly cut
+HARD = "|".join(STRONG)
+PRIOR = (50.0, 0.5)  # cuts and others that a kind is met with before the column is read
+LISTED = 4  # parts of the values whose frequency is looked up; longer ones are new values
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv")  # fixed values: what may follow a name after a second comma
 QUOTED = r'"(?:[^"]|"")*"|“[^”]*”|„[^“”]*[“”]'
 
@@ -52,19 +59,26 @@ class _Lexer:
         ends = "|".join(x for x in (HARD, "|".join(grammar.weak)) if x)
         self.sep = re.compile(f"(?P<h>{HARD})" + (f"|{weak}" if weak else ""))
         self.quoted = re.compile(rf"\s*({QUOTED})\s*(?={ends}|$)")
+        self.strong = [re.compile(x) for x in STRONG]
         self.names = grammar.names
         self.comma = grammar.weak.index(COMMA) if COMMA in grammar.weak else -1
         self.head = re.compile(r"^(?:and|AND|&)\s+") if grammar.conjunction else None
 
-    def chunks(self, text: str) -> list[str]:
-        """Raw text between hard separators."""
-        out, start, at = [], 0, 0
-        for at, sep in self._seps(text):
-            if sep.group("h") is not None:
-                out.append(text[start:at])
+    def chunks(self, text: str) -> list[tuple[str, int, str]]:
+        """(piece, kind of the strong separator before it or -1, text between it and the piece before) of each piece that isn't empty."""
+        out, start, kind, gap = [], 0, -1, 0
+        for at, sep in [*self._seps(text), (len(text), None)]:
+            if sep is not None and sep.group("h") is None:
+                continue
+            piece = self._tidy(text[start:at])
+            if piece:
+                end = start + len(text[start:at].rstrip())
+                out.append((piece, kind if out else -1, text[gap : end - len(piece)] if out else ""))
+                gap = end
+            if sep is not None:
+                kind = next(k for k, rx in enumerate(self.strong) if rx.fullmatch(sep.group("h")))
                 start = sep.end()
-        out.append(text[start:])
-        return [c for c in map(self._tidy, out) if c]
+        return out
 
     def _tidy(self, chunk: str) -> str:
         chunk = chunk.strip()
@@ -157,10 +171,18 @@ class Model:
         back = (self.shapes.get((place, shape), 0.0) + 0.25) / (n + 2.0) * min(anywhere, 1.0)
         return (self.words.get((place, cell), 0.0) + self.strength * back) / (n + self.strength)
 
+    def many(self, n: int = LISTED) -> float:
+        """Log probability of a value's number of parts; LISTED and more are one."""
+        return math.log((self.parts.get(n, 0.0) + 0.05 * self.total / n) / (1.2 * self.total + 1.0))
+
+    def begins(self, part: str) -> float:
+        """Log odds that a part begins a value and doesn't go on with one."""
+        first, later = list(_places([part])), list(_places(["", part]))[1:]
+        return sum(math.log(self.word(*a)) - math.log(self.word(*b)) for a, b in zip(first, later))
+
     def value(self, parts: list[str], count: float) -> float:
         """Log probability of a value that was met `count` times elsewhere."""
-        n = min(len(parts), 4)
-        new = math.log((self.parts.get(n, 0.0) + 0.05 * self.total / n) / (1.2 * self.total + 1.0))
+        new = self.many(min(len(parts), LISTED))
         new += sum(math.log(self.word(*w)) for w in _places(parts))
         return math.log((1.0 - self.novel) * max(count, 0.0) / self.total + self.novel * math.exp(max(new, -600.0)))
 
@@ -176,18 +198,19 @@ class _Lattice:
     kinds: list[int]
     edges: list[tuple[int, int]]
     values: list[str]
+    whole: list[bool]  # quoted parts
 
 
-def _lattice(lexer: _Lexer, chunk: str, max_parts: int) -> _Lattice:
+def _lattice(lexer: _Lexer, chunk: str) -> _Lattice:
     spans, kinds = lexer.pieces(chunk)
     whole = [bool(re.fullmatch(QUOTED, chunk[a:b].strip())) for a, b in spans]
     edges = [
         (i, j)
         for i in range(len(spans))
-        for j in range(i, min(len(spans), i + max_parts))
+        for j in range(i, min(len(spans), i + LISTED))
         if i == j or not any(whole[i : j + 1])
     ]
-    return _Lattice(spans, kinds, edges, [chunk[spans[i][0] : spans[j][1]] for i, j in edges])
+    return _Lattice(spans, kinds, edges, [chunk[spans[i][0] : spans[j][1]] for i, j in edges], whole)
 
 
 def _scores(lat: _Lattice, chunk: str, context: int, counts: list[float], model: Model) -> list[float]:
@@ -199,16 +222,48 @@ def _scores(lat: _Lattice, chunk: str, context: int, counts: list[float], model:
     return out
 
 
-def _viterbi(lat: _Lattice, scores: list[float]) -> list[int]:
+def _long(lat: _Lattice, chunk: str, context: int, model: Model) -> tuple[list[float], list[float], list[float]] | None:
+    """Values of more than LISTED parts, as a chain: scores to enter it with the parts i to i + LISTED, to take one more
+    part, and to end before part j. Such a value is a new one, whose score adds up over its words."""
+    n = len(lat.spans)
+    if n <= LISTED:
+        return None
+    parts = [_bare(chunk[a:b]) for a, b in lat.spans]
+    first = [sum(math.log(model.word(*w)) for w in _places([p])) for p in parts]
+    later = [sum(math.log(model.word(*w)) for w in list(_places(["", p]))[1:]) for p in parts]
+    later = [-math.inf if quoted else x for x, quoted in zip(later, lat.whole)]
+    joins, cuts = ([model.cut_odds(context, k)[x] for k in lat.kinds] for x in (1, 0))
+    enter = [first[i] + sum(later[i + 1 : i + LISTED + 1]) + sum(joins[i : i + LISTED]) if not lat.whole[i] else -math.inf for i in range(n - LISTED)]
+    more = [-math.inf] + [later[j] + joins[j - 1] for j in range(1, n)]
+    ending = model.many() + math.log(model.novel)
+    end = [-math.inf] + [ending + (cuts[j - 1] if j < n else 0.0) for j in range(1, n + 1)]
+    return enter, more, end
+
+
+def _viterbi(lat: _Lattice, scores: list[float], long: tuple | None = None) -> list[tuple[int, int]]:
+    """The parts (first, last) of each value on the best path."""
     n = len(lat.spans)
-    best, back = [0.0] + [-math.inf] * n, [-1] * (n + 1)
-    for e, (i, j) in enumerate(lat.edges):
-        if best[i] + scores[e] > best[j + 1]:
-            best[j + 1], back[j + 1] = best[i] + scores[e], e
+    best, back = [0.0] + [-math.inf] * n, [(-1, -1)] * (n + 1)
+    chain, began = [-math.inf] * (n + 1), [-1] * (n + 1)
+    by_start: dict[int, list[int]] = defaultdict(list)
+    for e, (i, _) in enumerate(lat.edges):
+        by_start[i].append(e)
+    for i in range(n + 1):
+        if long is not None and chain[i] + long[2][i] > best[i]:
+            best[i], back[i] = chain[i] + long[2][i], (began[i], i - 1)
+        for e in by_start[i]:
+            j = lat.edges[e][1]
+            if best[i] + scores[e] > best[j + 1]:
+                best[j + 1], back[j + 1] = best[i] + scores[e], (i, j)
+        if long is not None:
+            if i < n - LISTED and best[i] + long[0][i] > chain[i + LISTED + 1]:
+                chain[i + LISTED + 1], began[i + LISTED + 1] = best[i] + long[0][i], i
+            if i < n and chain[i] + long[1][i] > chain[i + 1]:
+                chain[i + 1], began[i + 1] = chain[i] + long[1][i], began[i]
     path, at = [], n
     while at:
         path.append(back[at])
-        at = lat.edges[back[at]][0]
+        at = back[at][0]
     return path[::-1]
 
 
@@ -218,21 +273,42 @@ def _add(a: float, b: float) -> float:
     return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
-def _posterior(lat: _Lattice, scores: list[float]) -> list[float]:
+def _posterior(lat: _Lattice, scores: list[float], long: tuple | None = None) -> list[float]:
+    """The chance of each edge; what is missing to one belongs to longer values."""
     n = len(lat.spans)
     fore, after = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-    for e, (i, j) in enumerate(lat.edges):  # edges are ordered by their start
-        fore[j + 1] = _add(fore[j + 1], fore[i] + scores[e])
-    for e in range(len(lat.edges) - 1, -1, -1):
-        i, j = lat.edges[e]
-        after[i] = _add(after[i], after[j + 1] + scores[e])
+    chain, rest = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    by_start: dict[int, list[int]] = defaultdict(list)
+    for e, (i, _) in enumerate(lat.edges):
+        by_start[i].append(e)
+    for i in range(n + 1):
+        if long is not None:
+            fore[i] = _add(fore[i], chain[i] + long[2][i])
+        for e in by_start[i]:
+            j = lat.edges[e][1]
+            fore[j + 1] = _add(fore[j + 1], fore[i] + scores[e])
+        if long is not None:
+            if i < n - LISTED:
+                chain[i + LISTED + 1] = _add(chain[i + LISTED + 1], fore[i] + long[0][i])
+            if i < n:
+                chain[i + 1] = _add(chain[i + 1], chain[i] + long[1][i])
+    for i in range(n, -1, -1):
+        if long is not None and i < n - LISTED:
+            after[i] = _add(after[i], long[0][i] + rest[i + LISTED + 1])
+        for e in by_start[i]:
+            j = lat.edges[e][1]
+            after[i] = _add(after[i], scores[e] + after[j + 1])
+        if long is not None:
+            rest[i] = after[i] + long[2][i]
+            if i < n:
+                rest[i] = _add(rest[i], long[1][i] + rest[i + 1])
     return [math.exp(min(0.0, fore[i] + scores[e] + after[j + 1] - fore[n])) for e, (i, j) in enumerate(lat.edges)]
 
 
 def _stats(lexer: _Lexer, value: str, weight: float, into: dict) -> None:
     spans, _ = lexer.pieces(value)
     parts = [_bare(value[a:b]) for a, b in spans]
-    into["p", str(min(len(parts), 4))] += weight
+    into["p", str(min(len(parts), LISTED))] += weight
     for place, cell, shape in _places(parts):
         into["w", f"{place} {cell}"] += weight
         into["s", f"{place} {shape}"] += weight
@@ -270,14 +346,13 @@ def _frame(stats: dict[str, dict]) -> pd.DataFrame:
 
 
 def split_packed(
-    df: DataFrame, key: str, fields: Mapping[str, Grammar], rounds: int = 4, max_parts: int = 4
+    df: DataFrame, key: str, fields: Mapping[str, Grammar], rounds: int = 4
 ) -> DataFrame:
     """Rows (key, field, pos, item) for each value packed in the `fields` of `df`.
 
     `pos` counts from 1 in each field. Values are trimmed and lose the quotes around them; doubled quotes inside
     become single; empty values, null and blank fields give no rows and take no position. `key` should name each row
-    once; rows with the same key are numbered together. `max_parts` is the largest number of weakly separated parts
-    that one unquoted value may have. Columns of `df` other than these are ignored, whatever their names.
+    once; rows with the same key are numbered together. Values may have any number of parts. Columns of `df` other than these are ignored, whatever their names.
     """
     sources = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]
     texts = df.select(F.col(key).alias("_key"), F.explode(F.array(*sources)).alias("s")).select("_key", "s.field", "s.text")
@@ -288,13 +363,65 @@ def split_packed(
         for batch in batches:
             rows = []
             for k, f, text in zip(batch["_key"], batch["field"], batch["text"]):
-                chunks = lexers[f].chunks(text)
-                for i, c in enumerate(chunks):
-                    rows.append((k, f, i, c, int(len(chunks) > 1), bool(fields[f].weak) and len(lexers[f].pieces(c)[0]) > 1))
-            yield pd.DataFrame(rows, columns=["_key", "field", "no", "chunk", "context", "open"])
+                rows += [(k, f, i, *c) for i, c in enumerate(lexers[f].chunks(text))]
+            yield pd.DataFrame(rows, columns=["_key", "field", "no", "piece", "kind", "gap"])
 
     key_type = df.schema[key].dataType.simpleString()
-    chunks = cut(texts.mapInPandas(lex, f"_key {key_type}, field string, no int, chunk string, context int, open boolean"))  # read once
+    pieces = cut(texts.mapInPandas(lex, f"_key {key_type}, field string, no int, piece string, kind int, gap string"))  # read once
+
+    def piece_stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexers, stats = {f: _Lexer(g) for f, g in fields.items()}, {f: defaultdict(float) for f in fields}
+        for batch in batches:
+            for f, c, n in zip(batch["field"], batch["piece"], batch["n"]):
+                if len(lexers[f].pieces(c)[0]) == 1 or not fields[f].weak or fields[f].names:
+                    _stats(lexers[f], c, n, stats[f])
+        yield _frame(stats)
+
+    # The strong level. Pieces behind a field's usual separator tell how values begin and go on.
+    distinct = cut(pieces.groupBy("field", "kind", "piece").agg(F.count("*").cast("double").alias("n")))
+    usual: dict[str, tuple[float, int]] = {}
+    for r in distinct.where("kind >= 0").groupBy("field", "kind").agg(F.sum("n").alias("n")).collect():  # fields times kinds
+        usual[r.field] = max(usual.get(r.field, (0.0, 0)), (r.n, -r.kind))
+    seeds = F.concat_ws(" ", "field", "kind").isin([f"{f} {k}" for f in fields for k in (-1, -usual.get(f, (0.0, 0))[1])])
+    looks = distinct.where(seeds).groupBy("field", "piece").agg(F.sum("n").alias("n")).mapInPandas(piece_stats, _STATS).groupBy("field", "kind", "key").agg(F.sum("weight").alias("weight"))
+    first_models = _models(looks.collect(), fields)  # at most PLACES * CELLS word cells a field
+
+    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexers = {f: _Lexer(g) for f, g in fields.items()}
+        for batch in batches:
+            odds = []
+            for f, c in zip(batch["field"], batch["piece"]):
+                a, b = lexers[f].pieces(c)[0][0]
+                odds.append(first_models[f].begins(_bare(c[a:b])))
+            yield batch[["field", "kind", "piece", "n"]].assign(odds=odds)
+
+    edges = cut(distinct.where("kind >= 0").mapInPandas(evidence, "field string, kind int, piece string, n double, odds double"))
+    prior = {(f, k): math.log(PRIOR[0] / PRIOR[1]) for f in fields for k in range(len(STRONG))}
+
+    def posterior() -> Column:
+        cases = F.create_map(*[x for (f, k), v in prior.items() for x in (F.lit(f"{f} {k}"), F.lit(v))])
+        return F.col("odds") + cases[F.concat_ws(" ", "field", "kind")]
+
+    for _ in range(rounds):
+        chance = 1.0 / (1.0 + F.exp(F.least(-posterior(), F.lit(500.0))))
+        for r in edges.groupBy("field", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * chance).alias("cuts")).collect():  # fields times kinds
+            prior[r.field, r.kind] = math.log(r.cuts + PRIOR[0]) - math.log(max(r.n - r.cuts, 0.0) + PRIOR[1])
+    going_on = edges.where(posterior() < 0.0).select("field", "kind", "piece", F.lit(True).alias("joins"))
+    judged = pieces.join(going_on, ["field", "kind", "piece"], "left")
+    whole = Window.partitionBy("_key", "field").orderBy("no")
+    # Only texts in which a strong separator belongs to a value are put together again.
+    mended = judged.join(judged.where("joins").select("_key", "field").distinct(), ["_key", "field"], "left_semi")
+    mended = mended.withColumn("no", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(whole).cast("int"))
+    bits = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("joins"), F.col("gap")).otherwise("").alias("gap"), "piece")))
+    mended = mended.withColumn("at", F.row_number().over(whole)).groupBy("_key", "field", "no").agg(bits.alias("b"))
+    mended = mended.select("_key", "field", "no", F.array_join(F.flatten(F.transform("b", lambda x: F.array(x["gap"], x["piece"]))), "").alias("chunk"))
+    plain = pieces.join(judged.where("joins").select("_key", "field").distinct(), ["_key", "field"], "left_anti").select("_key", "field", "no", F.col("piece").alias("chunk"))
+    several = F.max("no").over(Window.partitionBy("_key", "field")) > F.min("no").over(Window.partitionBy("_key", "field"))
+    opened = F.expr("false")
+    for f, g in fields.items():
+        if g.weak:
+            opened = F.when(F.col("field") == f, F.col("chunk").rlike("|".join(g.weak))).otherwise(opened)
+    chunks = cut(plain.unionByName(mended).withColumn("context", several.cast("int")).withColumn("open", opened))
     lattices = cut(
         chunks.where("open").groupBy("field", "context", "chunk").agg(F.count("*").cast("double").alias("n"))
         .withColumn("cid", F.monotonically_increasing_id())
@@ -313,7 +440,7 @@ def split_packed(
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexers = {f: _Lexer(g) for f, g in weak.items()}
         for batch in batches:
-            batch["values"] = [[_key(_bare(v), lexers[f]) for v in _lattice(lexers[f], c, max_parts).values] for f, c in zip(batch["field"], batch["chunk"])]
+            batch["values"] = [[_key(_bare(v), lexers[f]) for v in _lattice(lexers[f], c).values] for f, c in zip(batch["field"], batch["chunk"])]
             yield batch
 
     spread = lattices.mapInPandas(spans, "field string, context int, chunk string, n double, cid bigint, values array<string>")
@@ -334,8 +461,8 @@ def split_packed(
             lexers, stats = {f: _Lexer(g) for f, g in weak.items()}, {f: defaultdict(float) for f in weak}
             for batch in batches:
                 for f, context, c, n, counts in zip(*(batch[x] for x in ("field", "context", "chunk", "n", "counts"))):
-                    lat = _lattice(lexers[f], c, max_parts)
-                    for e, p in enumerate(_posterior(lat, _scores(lat, c, context, list(counts), models[f]))):
+                    lat = _lattice(lexers[f], c)
+                    for e, p in enumerate(_posterior(lat, _scores(lat, c, context, list(counts), models[f]), _long(lat, c, context, models[f]))):
                         if p < 1e-4:
                             continue
                         (i, j), w = lat.edges[e], p * n
@@ -368,8 +495,9 @@ def split_packed(
         for batch in batches:
             items = []
             for f, context, c, counts in zip(*(batch[x] for x in ("field", "context", "chunk", "counts"))):
-                lat = _lattice(lexers[f], c, max_parts)
-                items.append([lat.values[e] for e in _viterbi(lat, _scores(lat, c, context, list(counts), models[f]))])
+                lat = _lattice(lexers[f], c)
+                path = _viterbi(lat, _scores(lat, c, context, list(counts), models[f]), _long(lat, c, context, models[f]))
+                items.append([c[lat.spans[i][0] : lat.spans[j][1]] for i, j in path])
             yield pd.DataFrame({"field": batch["field"], "context": batch["context"], "chunk": batch["chunk"], "items": items})
 
     chosen = counted(values).mapInPandas(choose, "field string, context int, chunk string, items array<string>")

@@ -125,6 +125,29 @@ def test_packed(spark):
     assert packed.split_packed(df.limit(0), "ut", packed.WOS_FIELDS).count() == 0
 
 
+def test_every_separator_is_weighed(spark):
+    """A bar that stands inside values is learned to do so, a semicolon to cut; values may have any number of parts."""
+    rows = [(f"r{i}", f"{NAMES[i % 8]}; {NAMES[(i + 3) % 8]}; {NAMES[(i + 5) % 8]}", "a, b; kinship, ward; guild; kinship, guild") for i in range(160)]
+    rows += [(f"b{i}", f"{NAMES[i % 8].replace(', ', '| ')}; {NAMES[(i + 3) % 8]}", None) for i in range(40)]
+    many = "one, two, three, four, five, six, seven"
+    rows += [(f"l{i}", None, f"{many}; guild") for i in range(3)]
+    got = {}
+    for r in packed.split_packed(spark.createDataFrame(rows, "ut string, au string, id string"), "ut", {f: packed.WOS_FIELDS[f] for f in ("au", "id")}).orderBy("ut", "field", "pos").collect():
+        got.setdefault((r.ut, r.field), []).append(r.item)
+    assert got["r1", "au"] == [NAMES[1], NAMES[4], NAMES[6]] and got["b1", "au"] == [NAMES[1].replace(", ", "| "), NAMES[4]]
+    lexer = packed._Lexer(packed.WOS_FIELDS["id"])
+    lat = packed._lattice(lexer, many)
+    model = packed.Model(total=100.0, parts={1: 60.0, 4: 40.0}, split={(0, 0, 0): 1000.0}, places={p: 50.0 for p in range(8)})
+    scores, long = packed._scores(lat, many, 0, [0.0] * len(lat.edges), model), packed._long(lat, many, 0, model)
+    assert packed._viterbi(lat, scores, long) == [(0, 6)]
+    # The chain gives a value of LISTED parts and one more the scores that spelling it out gives.
+    whole = model.value(many.split(", "), 0.0) + 6 * model.cut_odds(0, 0)[1]
+    enter, more, end = long
+    assert abs(enter[0] + more[5] + more[6] + end[7] - whole) < 1e-9
+    chances = packed._posterior(lat, scores, long)
+    assert 0.0 <= sum(p for p, (i, _) in zip(chances, lat.edges) if i == 0) < 0.5
+
+
 def test_latest_record(spark):
     df = spark.createDataFrame([("1", "old", datetime.datetime(2020, 1, 1)), ("1", "new", datetime.datetime(2021, 1, 1)), (None, "x", None), (None, "x", None), (None, "y", None)], "ut string, au string, loaded_at timestamp")
     got = sorted((r.ut or "", r.au) for r in packed.latest_records(df).collect())
