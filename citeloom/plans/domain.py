@@ -520,6 +520,6 @@ def line_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy(text.line_kind(F.col("l")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@_query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS ind FROM events GROUP BY 1, 2")
+@_query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS ind, count(DISTINCT user_id) AS doc FROM events GROUP BY 1, 2")
 def events_windowed(spark: SparkSession, folder: str) -> DataFrame:
-    return windowed_counts(table(spark, folder, "events"), "ts", ["event_type"], "user_id").drop("doc")
+    return windowed_counts(table(spark, folder, "events"), "ts", ["event_type"], "user_id")

@@ -8,7 +8,11 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ("cnt_c_fy", "cube_core", "refpair_age", "cocit_works", "trend_series", "top_decade_topn", "matrix_norm", "ref_parse", "author_key", "rel_having", "bib_network", "paren_scan", "p6_found", "p6_per_work")
+NAMES = ("cnt_c_fy", "cube_core", "refpair_age", "cocit_works", "trend_series", "top_decade_topn", "matrix_norm", "ref_parse", "author_key", "rel_having", "bib_network", "paren_scan", "p6_found", "p6_per_work",
+    "p4_found", "p4_good", "wos_cube", "wos_relational_doc", "wos_relational_cit", "citation_parse", "citation_context", "text_cube", "term_pairs", "text_cocited_year", "page_sentences", "header_vote",
+    "pages_without_heads", "pages_and_references", "fuzzy_pairs", "group_reps", "reference_components", "citations_by_group", "births_deaths", "top_decade_stratified", "matrix_cohort", "kept_references",
+    "whitelist_skipped", "bib_network_top", "events_windowed",
+)
 
 
 @pytest.fixture(scope="module")
