@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.functions.normalize import is_article_key
+from citeloom.operators.relational import meet
 from citeloom.runtime import cut
 
 
@@ -54,7 +55,8 @@ def alike_pairs(strings: DataFrame, column: str, least: float, max_edits: int, g
     """(a, b, cosine): strings of TF-IDF n-gram cosine at least `least` and at most `max_edits` edits, a < b.
 
     A pair within `max_edits` edits shares one of `max_edits` + 1 pieces at a place shifted by no more than the edits
-    (pigeonhole), so pieces are the join keys and no pair is lost, however common its n-grams are.
+    (pigeonhole), so pieces are the join keys and no pair is lost, however common its n-grams are. Common pieces are cut
+    into blocks.
     """
     base = strings.select(F.col(column).alias("s")).where("s is not null").distinct()
     grams = base.withColumn("g", F.explode(F.expr(f"transform(sequence(1, greatest(length(s) - {gram - 1}, 1)), i -> substring(s, i, {gram}))")))
@@ -70,7 +72,7 @@ def alike_pairs(strings: DataFrame, column: str, least: float, max_edits: int, g
     probe = base.withColumn("m", F.length("s")).withColumn("n", F.explode(F.expr(f"sequence(greatest(m - {max_edits}, 0), m + {max_edits})")))
     probe = probe.withColumn("x", F.explode(F.expr(cuts))).withColumn("d", F.explode(F.expr(f"sequence(-{max_edits}, {max_edits})"))).where("x.at + d >= 0 and x.at + d + x.len <= m")
     probe = probe.select(F.col("s").alias("t"), "n", F.col("x.p").alias("p"), F.expr("substring(s, x.at + d + 1, x.len)").alias("piece")).distinct()
-    met = own.join(probe, ["n", "p", "piece"]).where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    met = meet(own, probe, ["n", "p", "piece"]).where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
     met = met.where(F.levenshtein("a", "b", max_edits) >= 0)
     left, right = (vectors.select(F.col("s").alias(x), F.col("v").alias(f"v{x}"), F.col("norm").alias(f"n{x}")) for x in "ab")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at(F.col("vb"), x["key"]), F.lit(0.0)))

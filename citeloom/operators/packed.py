@@ -23,6 +23,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field as dc_field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -114,6 +115,12 @@ def _bare(value: str) -> str:
     return value
 
 
+@lru_cache(maxsize=100_000)
+def _seen(word: str) -> tuple[int, int]:
+    """Cell and shape of a word."""
+    return zlib.crc32(word.lower().encode()) % CELLS, _shape(word)
+
+
 def _shape(word: str) -> int:
     core = word.strip(".,'’-")
     if not core:
@@ -133,7 +140,7 @@ def _places(parts: list[str]) -> Iterator[tuple[int, int, int]]:
         words = part.split() or [""]
         for i, w in enumerate(words):
             role = 0 if len(words) == 1 else 1 if i == 0 else 3 if i == len(words) - 1 else 2
-            yield (4 if p else 0) + role, zlib.crc32(w.lower().encode()) % CELLS, _shape(w)
+            yield ((4 if p else 0) + role, *_seen(w))
 
 
 def _key(value: str, lexer: _Lexer) -> str:
@@ -162,9 +169,16 @@ class Model:
     total: float = 1.0
     novel: float = 0.2  # share of values that were met once: the chance that the next value is new
     strength: float = 20.0
+    memo: dict[tuple[int, int, int], float] = dc_field(default_factory=dict, compare=False)  # at most places, cells and shapes allow
 
     def word(self, place: int, cell: int, shape: int) -> float:
         """Chance of a word at a place, falling back on its chance anywhere and on the shape of the place's words."""
+        chance = self.memo.get((place, cell, shape))
+        if chance is None:
+            chance = self.memo[place, cell, shape] = self._word(place, cell, shape)
+        return chance
+
+    def _word(self, place: int, cell: int, shape: int) -> float:
         n = self.places.get(place, 0.0)
         of_shape = sum(self.shapes.get((p, shape), 0.0) for p in range(PLACES)) + 1.0
         anywhere = (sum(self.words.get((p, cell), 0.0) for p in range(PLACES)) + 0.02) / (of_shape + 50.0)

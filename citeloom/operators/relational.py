@@ -56,3 +56,16 @@ def zero_filled(counts: DataFrame, year: str, start: int, end: int) -> DataFrame
     """Counts of every year of a span."""
     spine = counts.sparkSession.range(start, end + 1).select(F.col("id").cast("int").alias(year))
     return spine.join(counts, year, "left").select(year, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], block: int = 2000) -> DataFrame:
+    """An inner join whose hot keys are many tasks: a key with more than `block` rows on a side is cut into blocks there,
+    and every block of one side meets every block of the other in a group of its own."""
+    sizes = [df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for df, n in ((left, "_nl"), (right, "_nr"))]
+    hot = sizes[0].join(sizes[1], keys).where("_nl > 1 or _nr > 1")  # at most one key for each `block` rows
+
+    def placed(df: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        rows = df.join(hot, keys, "left").withColumn(i, F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int"))
+        return rows.withColumn(j, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_nl", "_nr")
+
+    return placed(left, "_nl", "_nr", "_i", "_j").join(placed(right, "_nr", "_nl", "_j", "_i"), [*keys, "_i", "_j"]).drop("_i", "_j")

@@ -56,3 +56,12 @@ def test_small_functions(spark):
     assert values(spark, normalize.is_roman, "xiv", "x1") == [True, False]
     assert values(spark, lambda c: text.untokenized(F.split(c, " ")), "It is n't here .") == ["It is n't here."]
     assert values(spark, lambda c: text.before_bibliography(c)["bibliography"], "a References b", "References References") == [" b", None]
+
+
+def test_small_volume_and_page_letters_make_articles(spark):
+    got = values(
+        spark, normalize.parse_reference,
+        "GRANOVETTER MS, 1973, AM J SOCIOL, v78, p1360", "DOE J, 1990, SOC FORCES, 12, p3", "DOE J, 1990, SOC FORCES 12, 3", "DOE J, 1990, " + "A, " * 1500 + "v3",
+    )
+    assert [r.type for r in got] == ["article"] * 4 and got[0].full_ref == "Granovetter, M.|1973|am j sociol,v78,p1360"
+    assert got[3].full_ref.count(",a") == 1499 and got[3].full_ref.endswith(",v3")  # references of any length

@@ -163,3 +163,15 @@ def test_relational(spark):
     assert {(r.full_ref, r.n) for r in relational.count_table(joined, ["full_ref"], True).collect()} == {("r", 2), ("s", 1)}
     assert {(r.full_ref, r.n) for r in relational.count_table(joined, ["full_ref"], False, [("journal", ["J"]), ("author", "X*")]).collect()} == {("r", 1)}
     assert {tuple(r) for r in graph.cocitation_network(joined, "full_ref", 1).collect()} == {("r", "s", 1)}
+
+
+def test_hot_keys_meet_once(spark):
+    """Every pair of a key meets exactly once, however the sides are cut."""
+    from citeloom.operators.relational import meet
+
+    left = spark.createDataFrame([("h", i) for i in range(25)] + [("c", 1), ("l", 1)], "k string, x int")
+    right = spark.createDataFrame([("h", i) for i in range(11)] + [("c", 2), ("r", 1)], "k string, y int")
+    for block in (1, 4, 100):
+        got = sorted((r.k, r.x, r.y) for r in meet(left, right, ["k"], block).collect())
+        assert got == sorted([("h", x, y) for x in range(25) for y in range(11)] + [("c", 1, 2)])
+    assert meet(left.limit(0), right, ["k"]).count() == 0
