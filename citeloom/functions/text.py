@@ -64,10 +64,11 @@ def bracket_rows(df: DataFrame, text: str, names: tuple[str, str, str] = ("pos",
 
 
 def _hits(part: Column) -> list[Column]:
+    """For each form what it finds; parts that a form doesn't fit cost one pattern."""
     out = []
     for form in CITATION_FORMS:
         names, years = F.regexp_extract(part, form, 1), F.regexp_extract(part, form, 2)
-        out.append(F.when(part.rlike("[0-9]{4}") & part.rlike(form) & ~names.isin(*MONTHS), F.struct(names.alias("names"), years.alias("years"))))
+        out.append(F.when(part.rlike(form) & ~names.isin(*MONTHS), F.struct(names.alias("names"), years.alias("years"))))
     return out
 
 
@@ -79,7 +80,7 @@ def citation_rows(df: DataFrame, text: str) -> DataFrame:
     """
     flat = F.regexp_replace(F.regexp_replace(text, r"-\n", ""), r"\s+", " ")
     trimmed = lambda sep: F.transform(F.split(flat, sep), lambda p: F.trim(p))
-    parts = once(df.where(F.col(text).rlike("[0-9]{4}")), semi=F.filter(trimmed(";"), lambda p: F.size(F.split(p, ",")) < 4), comma=trimmed(","))
+    parts = once(df.where(F.col(text).rlike("[0-9]{4}")), semi=F.filter(trimmed(";"), lambda p: p.rlike("[0-9]{4}") & (F.size(F.split(p, ",")) < 4)), comma=F.filter(trimmed(","), lambda p: p.rlike("[0-9]{4}")))
     parts = parts.withColumnRenamed("_once", "_parts")
     first = F.filter(F.transform("_parts.semi", lambda p: F.coalesce(*_hits(p))), lambda h: h.isNotNull())
     every = F.filter(F.flatten(F.transform("_parts.comma", lambda p: F.array(*_hits(p)))), lambda h: h.isNotNull())
