@@ -80,8 +80,17 @@ _PAIRS = """
     p AS (SELECT a.full_ref AS ref_a, b.full_ref AS ref_b, count(*) AS n_ab
           FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.full_ref < b.full_ref GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
+# Words as `plain_words` reads them; a bracket with a year is a citation.
+_WORDS = r"""regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace({text}, '[(\[][^()\[\]]*[0-9]{{4}}[^()\[\]]*[)\]]', ' ', 'g'),
+    '[-\x{{AD}}\x{{2010}}\x{{2011}}][ \t]*\r?\n\s*', '', 'g'), '[-\x{{AD}}\x{{2010}}\x{{2011}}''’]', '', 'g')), '[\p{{L}}\p{{N}}_]+')"""
+_RUNS = f"""
+    WITH d AS (SELECT doc_id, {_WORDS.format(text='text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format(text='item_text')} AS w FROM eval_item WHERE item_text IS NOT NULL),
+    dr AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS run FROM d, unnest(range(1, len(w) - 10)) u(k)), ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS run FROM i, unnest(range(1, len(w) - 10)) u(k))
+    SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)"""
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_surprise, p7_found, p7_paragraphs, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted)}
 SQL: dict[str, str] = {
+    "p8_found": _RUNS,
     "p3_found": _PAIRS + """
     SELECT ref_a, ref_b FROM p JOIN n x ON x.full_ref = ref_a JOIN n y ON y.full_ref = ref_b
     WHERE n_ab * (SELECT count(DISTINCT doc_id) FROM s) >= 8 * x.n * y.n""",
