@@ -181,7 +181,7 @@ def _padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def train(rounds: int = 40, epochs: int = 7, seed: int = 11, veil: float = 0.2) -> Field:
+def train(rounds: int = 80, epochs: int = 5, seed: int = 11, veil: float = 0.2) -> Field:
     """Fit the field by AdaGrad on exact log-likelihood gradients (forward-backward) of small batches.
 
     A share `veil` of the tokens is veiled, so that neighbours never met in training are nothing new.
@@ -204,9 +204,11 @@ def train(rounds: int = 40, epochs: int = 7, seed: int = 11, veil: float = 0.2)
     means, taken = [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         for k in order_of.permutation(len(batches)):
-            for p, g, q in zip(params, _gradients(field, cells, shape_of, *batches[k]), squares):
-                q += g * g
-                p += 0.5 * g / np.sqrt(q)
+            # Each parameter comes with the rows of it that the batch touches.
+            for (at, g), p, q in zip(_gradients(field, cells, shape_of, *batches[k]), params, squares):
+                own = q[at] + g * g
+                q[at] = own
+                p[at] += 0.5 * g / np.sqrt(own)
         field.near *= 0.995
         field.pairs *= 0.995
         if epoch >= epochs // 2:  # the mean over the later rounds is steadier than any of them
@@ -218,7 +220,7 @@ def train(rounds: int = 40, epochs: int = 7, seed: int = 11, veil: float = 0.2)
     return field
 
 
-def _gradients(field: Field, cells: np.ndarray, shape_of: np.ndarray, grid: np.ndarray, lengths: np.ndarray, truth: np.ndarray) -> list[np.ndarray]:
+def _gradients(field: Field, cells: np.ndarray, shape_of: np.ndarray, grid: np.ndarray, lengths: np.ndarray, truth: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
     n, width = len(LABELS), grid.shape[1]
     inside = np.arange(width) < lengths[:, None]
     shapes = shape_of[grid]
@@ -244,13 +246,16 @@ def _gradients(field: Field, cells: np.ndarray, shape_of: np.ndarray, grid: np.n
     diff = (np.eye(n, dtype=np.float32)[truth] - np.exp(np.minimum(a + b - log_z[:, None, None], 0.0))) * inside[..., None]
     seen = np.zeros((n, n), np.float32)
     np.add.at(seen, (truth[:, :-1][inside[:, 1:]], truth[:, 1:][inside[:, 1:]]), 1.0)
-    near, flat = np.zeros_like(field.near), diff[inside]
+    flat = diff[inside]
+    touched, place = np.unique(cells[used].ravel(), return_inverse=True)
+    near = np.empty((len(NEAR), len(touched), n), np.float32)
     for k, off in enumerate(NEAR):
         per_token = _sum_by(_shifted(own, off)[inside], flat, len(used))
-        near[k] = _sum_by(cells[used].ravel(), np.repeat(per_token, _MOST, axis=0), CELLS)
-        near[k][0] = 0.0
-    pairs = _sum_by((_shifted(shapes, -1) * _SHAPES + shapes)[inside], flat, len(field.pairs))
-    return [near, pairs, np.where(field.trans < -20, 0.0, seen - expected)]
+        near[k] = _sum_by(place, np.repeat(per_token, _MOST, axis=0), len(touched))
+    near[:, touched == 0] = 0.0
+    met, place = np.unique((_shifted(shapes, -1) * _SHAPES + shapes)[inside], return_inverse=True)
+    whole = (slice(None),)
+    return [((slice(None), touched), near), ((met,), _sum_by(place, flat, len(met))), (whole, np.where(field.trans < -20, 0.0, seen - expected))]
 
 
 def _shifted(grid: np.ndarray, off: int) -> np.ndarray:

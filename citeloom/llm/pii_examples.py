@@ -69,7 +69,7 @@ POSITIVE = (
     "“Talk to {n},” the guard advised.", "{n} kept the books of the {w} until {y}.", "{n} remembers the {w} of {y} well.", "{T} {n} remembers how {w} {w} the {w}.", "{n} was born in {t} in {y}.", "According to our landlady, {n}, the {w} {w}.", "A neighbour, {n}, had {d} {w}.", "The witness {n} was heard in {t}.", "Interviewee: {n}. Place: {t}. Date: {y}.", "Present: {n}, {n}, {n}.", "Minutes taken by {n}.", "Signed: {n}, {t}, {y}", "Yours sincerely, {n}", "Yours, {n} <{m}>", "{n} <{m}>: thank you for the {w}.", "{n} wrote from {m}: the {w} is {w}.",
     "Dear {T} {n}, the {w} has arrived.", "Mrs {n} and her son {n} left {t} in {y}.", "Our host was {n} ({p}), who kept {d} {w}.", "Our host {n} kept {d} {w}.", "We spoke with {n} of {a} on two days.", "{n} of {a} sold us the {w}.", "{T} {n} of {a} let us in.", "The talk with {n} lasted {d} minutes.", "The talk with {T} {n} took place in {t} in {y}.", "The questionnaire of {n} came back from {t}.", "Entries: {n}, no. {i}, {a}.", "I am {n}, my phone is {p}.", "Speaking is {n}; call me back on {p}.", "{n} here, the number is {p}.",
     # people named by what they are
-    "Interviewee {n} said little.", "Informant {n} left {t} in {y}.", "Witness {n} signed with {i} and gave {a}.", "Tenant {n} paid {d} in {y}.", "Applicant {n} (number {i}) withdrew.", "Patient {n}, number {i}, was sent home.", "Respondents such as {n} were {w}.", "Voter {n} of {a} was struck off.", "Subscriber {i} is {n}.", "Diary: saw {n}, phone {p}, card {i}.", "Log of day {d}: rang {n}, number {p}.", "Memo: call {n}, mobile {p}, badge {i}.", "Visited {n}, telephone {p}, in {t}.", "Note to self: thank {n}.", "Claimant {n} lost.", "Lodger {n} paid {d}, then left for {a}.", "Pupil {n} of {t} came {w}.", "Nurse {n} wrote it down.", "Guest {n} signed with {i} and left.", "Clerk {n} knew {w}.", "Reader {n} wrote from {a}.", "The Mayor, {n}, {w}.", "Parcels to {n}, {a}.", "Parcels to {n}, {a}; {m}. They {w} {w}.", "Reprints from {n}, {a}.", "Proofs to {T} {n}, {a}. {w} {w}.", "Bills to {n} at {a}.", "Invoices: {n}, {a}.", "{n} can be had under {p}.", "The office is found under {p}.", "Ring {n} under {p}, or {p}.", "A long walk with {n} ended in {t}.", "Lunch with {n} was in {y}.", "A quarrel with {T} {n} dates from {y}.", "Breakfast with {T} {n} of {t}.", "My uncle {n} (phone {p}) {w} {w}.", "{n} (tel. {p}) {w} the {w}.", "The agent (phone {p}) {w}.", "He was then living at {a}.", "Both were living at {a} in {y}.", "{n} of {a} came by.", "{T} {n} of {a} came by; {w} {w}.", "A letter to {n}, {a}; {m}, came back.",
+    "Interviewee {n} said little.", "Informant {n} left {t} in {y}.", "Witness {n} signed with {i} and gave {a}.", "Tenant {n} paid {d} in {y}.", "Applicant {n} (number {i}) withdrew.", "Patient {n}, number {i}, was sent home.", "Respondents such as {n} were {w}.", "Voter {n} of {a} was struck off.", "Subscriber {i} is {n}.", "Diary: saw {n}, phone {p}, card {i}.", "Log of day {d}: rang {n}, number {p}.", "Memo: call {n}, mobile {p}, badge {i}.", "Visited {n}, telephone {p}, in {t}.", "Note to self: thank {n}.", "Claimant {n} lost.", "Lodger {n} paid {d}, then left for {a}.", "Pupil {n} of {t} came {w}.", "Nurse {n} wrote it down.", "Guest {n} signed with {i} and left.", "Clerk {n} knew {w}.", "Reader {n} wrote from {a}.", "The Mayor, {n}, {w}.", "Parcels to {n}, {a}.", "Parcels to {n}, {a}; {m}. They {w} {w}.", "Reprints from {n}, {a}.", "Proofs to {T} {n}, {a}. {w} {w}.", "Bills to {n} at {a}.", "Invoices: {n}, {a}.", "{n} can be had under {p}.", "The office is found under {p}.", "Ring {n} under {p}, or {p}.", "A long walk with {n} ended in {t}.", "Lunch with {n} was in {y}.", "A quarrel with {T} {n} dates from {y}.", "Breakfast with {T} {n} of {t}.", "My uncle {n} (phone {p}) {w} {w}.", "{n} (tel. {p}) {w} the {w}.", "The agent (phone {p}) {w}.", "Should it fail, call {p}.", "If lost, call {p} at once.", "Mail {m}, or call {p}, said the {w}.", "She left {p} with the porter.", "He left {p}, but no name.", "Whoever rang left {p} for {n}.", "{n} of {a} was the second guest.", "{n} of {a} and {n} of {a} {w}.", "{T} {n} of {a} was the second guest.", "He was then living at {a}.", "Both were living at {a} in {y}.", "{n} of {a} came by.", "{T} {n} of {a} came by; {w} {w}.", "A letter to {n}, {a}; {m}, came back.",
     "The list gives {n}, no. {i}, resident in {a}.", "The sheet names {n}, no. {i}.", "The roll shows {n}, born in {y}.", "The badge read {i}, the name {n}.", "On the slip stood the number {i}.", "A card with the number {i} lay there. {w} {w} {x}.", "The stamp carries the number {i}.", "Write to {m} or phone {p}.", "Mail {m} or phone {p}.", "Suggestions: {m}, or phone {p}.", "Mail us: {m}. Using {w}, the {c} {w}.", "Returns to {a}. The {w} {w}.", "Ask after {n}, whose number is {p}.", "Ask {n} downstairs, said the {w}.", "Go and see {n}, said the {w}.",
     # German
     "Wir danken {n} für das Gespräch.", "Das Interview mit {n} führten wir {y} in {t}.", "Das Interview mit {T} {n} dauerte {d} Minuten.", "Anfragen bitte an {m} oder unter {p}.", "Schreiben Sie an {m} oder rufen Sie {p} an.", "Der Pass {i} wurde auf {n} ausgestellt.", "Personalnummer {i}, {n}", "{n} wohnt in der {g}.", "{n}, {g}, berichtete von {y}.", "{T} {n}, gemeldet {g}, sagte nichts.", "Unsere Anschrift lautet {g}.", "Ausgewiesen hat sich {n} mit {i}.", "Die Klägerin {n}, wohnhaft {g}, erschien nicht.", "{T} {n}, wohnhaft {g}, schwieg.", "{n}, wohnhaft {g}, schwieg.", "Ausweis {i}, Inhaber {n}.", "Der Ausweis mit der Nr. {i} gehörte {n}.", "Kontakt: {m}, Telefon {p}.", "Fragen? {m} oder {p}.", "Wählen Sie {p}. {c} und {c} {x}.", "Pass Nr. {i} gehört {n}.", "Karte Nr. {i} ist die von {n}.", "Konto Nr. {i}, {n}.", "Ein Spaziergang mit {n} endete {y}.", "Der Briefwechsel mit {n} begann {y}.", "Der Streit mit {T} {n} begann {y} in {t}.", "Zeuge {n} schwieg.", "Mieterin {n} zog {y} aus.",
