@@ -24,6 +24,7 @@ from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field as dc_field
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -54,13 +55,22 @@ AND = r"\s*,?\s+(?:and|AND|&)\s+"
 WOS_FIELDS = {"au": Grammar((AND, COMMA), True, True), "cr": Grammar(), "id": Grammar((COMMA,))}
 
 
+def _quotes(text: str) -> bool:
+    return '"' in text or "“" in text or "„" in text
+
+
+def _strong_kind(sep: str) -> int:
+    """The place in STRONG of a separator that is one of them."""
+    return 4 if "/" in sep else 0 if sep == ";" else 1 if sep == "|" else 3 if sep == "\t" else 2
+
+
 class _Lexer:
     def __init__(self, grammar: Grammar) -> None:
         weak = "|".join(f"(?P<w{i}>{w})" for i, w in enumerate(grammar.weak))
         ends = "|".join(x for x in (HARD, "|".join(grammar.weak)) if x)
         self.sep = re.compile(f"(?P<h>{HARD})" + (f"|{weak}" if weak else ""))
         self.quoted = re.compile(rf"\s*({QUOTED})\s*(?={ends}|$)")
-        self.strong = [re.compile(x) for x in STRONG]
+        self.hard = re.compile(f"(?P<h>{HARD})")
         self.names = grammar.names
         self.comma = grammar.weak.index(COMMA) if COMMA in grammar.weak else -1
         self.head = re.compile(r"^(?:and|AND|&)\s+") if grammar.conjunction else None
@@ -68,7 +78,8 @@ class _Lexer:
     def chunks(self, text: str) -> list[tuple[str, int, str]]:
         """(piece, kind of the strong separator before it or -1, text between it and the piece before) of each piece that isn't empty."""
         out, start, kind, gap = [], 0, -1, 0
-        for at, sep in [*self._seps(text), (len(text), None)]:
+        seps = self._seps(text) if _quotes(text) else ((m.start(), m) for m in self.hard.finditer(text))
+        for at, sep in chain(seps, ((len(text), None),)):
             if sep is not None and sep.group("h") is None:
                 continue
             piece = self._tidy(text[start:at])
@@ -77,7 +88,7 @@ class _Lexer:
                 out.append((piece, kind if out else -1, text[gap : end - len(piece)] if out else ""))
                 gap = end
             if sep is not None:
-                kind = next(k for k, rx in enumerate(self.strong) if rx.fullmatch(sep.group("h")))
+                kind = _strong_kind(sep.group("h"))
                 start = sep.end()
         return out
 
@@ -86,6 +97,9 @@ class _Lexer:
         return self.head.sub("", chunk) if self.head else chunk
 
     def _seps(self, text: str) -> Iterator[tuple[int, re.Match]]:
+        if not _quotes(text):
+            yield from ((m.start(), m) for m in self.sep.finditer(text))
+            return
         at, n = 0, len(text)
         while at <= n:
             q = self.quoted.match(text, at)
@@ -258,22 +272,22 @@ def _viterbi(lat: _Lattice, scores: list[float], long: tuple | None = None) -> l
     """The parts (first, last) of each value on the best path."""
     n = len(lat.spans)
     best, back = [0.0] + [-math.inf] * n, [(-1, -1)] * (n + 1)
-    chain, began = [-math.inf] * (n + 1), [-1] * (n + 1)
+    open_, began = [-math.inf] * (n + 1), [-1] * (n + 1)
     by_start: dict[int, list[int]] = defaultdict(list)
     for e, (i, _) in enumerate(lat.edges):
         by_start[i].append(e)
     for i in range(n + 1):
-        if long is not None and chain[i] + long[2][i] > best[i]:
-            best[i], back[i] = chain[i] + long[2][i], (began[i], i - 1)
+        if long is not None and open_[i] + long[2][i] > best[i]:
+            best[i], back[i] = open_[i] + long[2][i], (began[i], i - 1)
         for e in by_start[i]:
             j = lat.edges[e][1]
             if best[i] + scores[e] > best[j + 1]:
                 best[j + 1], back[j + 1] = best[i] + scores[e], (i, j)
         if long is not None:
-            if i < n - LISTED and best[i] + long[0][i] > chain[i + LISTED + 1]:
-                chain[i + LISTED + 1], began[i + LISTED + 1] = best[i] + long[0][i], i
-            if i < n and chain[i] + long[1][i] > chain[i + 1]:
-                chain[i + 1], began[i + 1] = chain[i] + long[1][i], began[i]
+            if i < n - LISTED and best[i] + long[0][i] > open_[i + LISTED + 1]:
+                open_[i + LISTED + 1], began[i + LISTED + 1] = best[i] + long[0][i], i
+            if i < n and open_[i] + long[1][i] > open_[i + 1]:
+                open_[i + 1], began[i + 1] = open_[i] + long[1][i], began[i]
     path, at = [], n
     while at:
         path.append(back[at])
@@ -291,21 +305,21 @@ def _posterior(lat: _Lattice, scores: list[float], long: tuple | None = None) ->
     """The chance of each edge; what is missing to one belongs to longer values."""
     n = len(lat.spans)
     fore, after = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-    chain, rest = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    open_, rest = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
     by_start: dict[int, list[int]] = defaultdict(list)
     for e, (i, _) in enumerate(lat.edges):
         by_start[i].append(e)
     for i in range(n + 1):
         if long is not None:
-            fore[i] = _add(fore[i], chain[i] + long[2][i])
+            fore[i] = _add(fore[i], open_[i] + long[2][i])
         for e in by_start[i]:
             j = lat.edges[e][1]
             fore[j + 1] = _add(fore[j + 1], fore[i] + scores[e])
         if long is not None:
             if i < n - LISTED:
-                chain[i + LISTED + 1] = _add(chain[i + LISTED + 1], fore[i] + long[0][i])
+                open_[i + LISTED + 1] = _add(open_[i + LISTED + 1], fore[i] + long[0][i])
             if i < n:
-                chain[i + 1] = _add(chain[i + 1], chain[i] + long[1][i])
+                open_[i + 1] = _add(open_[i + 1], open_[i] + long[1][i])
     for i in range(n, -1, -1):
         if long is not None and i < n - LISTED:
             after[i] = _add(after[i], long[0][i] + rest[i + LISTED + 1])
