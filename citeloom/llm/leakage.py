@@ -7,20 +7,21 @@ finds. Item passages lie in cells around centroids; a document passage is compar
 whose centroid is near enough, and pairs above a least cosine are candidates. Only candidates are read word by word: a
 run of 12 words is a leak, and for the report a longest common subsequence with the answer beside it marks paraphrases.
 
-Both limits, for centroids and for passages, are set from runs planted into a few documents, so that all but a
-thousandth of these are found. The items, their words and vectors go to all workers; `MAX_ITEM_WORDS` bounds them.
-Document frequencies are counted over all documents; only the singular vectors are fitted on a sample of at most
-`FIT_PASSAGES` passages.
+Both limits, for centroids and for passages, are set from runs planted into every document: for leaks so that all of
+these are found, for paraphrases, of which each candidate pair is read, so that all but a thousandth are. The items, their words and vectors go to all workers; `MAX_ITEM_WORDS` bounds them.
+Document frequencies are counted over all documents, and the singular vectors are fitted on all their passages.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from citeloom.runtime import cut
@@ -29,12 +30,12 @@ RUN = 12  # successive words that make a leak
 WIDE, STEP = 24, 12  # document passages
 NARROW, STRIDE = 15, 4  # item passages
 DIMENSIONS, EXTRA, POWERS = 64, 10, 2
-FIT_PASSAGES = 60_000
-FIT_TASKS = 16
+MOST_PAIRS = 1 << 22  # pairs of words that a worker counts at once, 32 MB; of more words products are added up, in every round
+PART_CELLS = 1024  # numbers of a matrix that are added up as one row
 MIN_COSINE = 0.4  # of candidates at the most; planted runs lower it
 MOST_WEIGHT = 4.0  # a word in fewer than two of a hundred documents weighs no more, else it hides the words around it
 MAX_ITEM_WORDS = 2_000_000  # half a million passages, 128 MB of vectors in each worker; more is refused, never cut
-PLANTED = 3000
+FINE = 10_000  # steps of 1 that cosines of planted runs are counted in
 
 _BRACKET = re.compile(r"[(\[]([^()\[\]]*+)[)\]]")
 _YEAR = re.compile(r"\d{4}")
@@ -199,50 +200,99 @@ def inverse_document_frequency(coded: DataFrame, size: int) -> np.ndarray:
 
 
 def _product(words: list[np.ndarray], table: np.ndarray, size: int) -> np.ndarray:
-    """Passages transposed times passages times `table`, without the weights on the left."""
-    out = np.zeros((size + 1, table.shape[1]), np.float32)
+    """Passages transposed times passages times `table`, without the weights on the left.
+
+    A passage is two blocks, so a block takes what its passages came to, and its words take what their block took.
+    """
+    out = np.zeros((size + 1, table.shape[1]))
     words = [w for w in words if len(w)]
     if not words:
         return out
     grid, doc, start = _laid(words, size)
     y = _vectors(grid, doc, start, table)
-    second = np.minimum(start + 1, len(grid) - 1)
-    pairs = np.concatenate([grid[start], np.where(_alone(doc, start, len(grid))[:, None], size, grid[second])], axis=1)
-    for a in range(0, len(pairs), 4096):
-        flat, rows = pairs[a : a + 4096].ravel(), np.repeat(np.arange(len(pairs[a : a + 4096])), 2 * STEP)
-        order = np.argsort(flat, kind="stable")
-        ends = np.nonzero(np.append(True, np.diff(flat[order]) != 0))[0]
-        out[flat[order][ends]] += np.add.reduceat(y[a : a + 4096][rows[order]], ends, axis=0)
+    taken = np.zeros((len(grid), table.shape[1]), np.float32)
+    taken[start] = y
+    double = ~_alone(doc, start, len(grid))
+    taken[start[double] + 1] += y[double]
+    for a in range(0, len(grid), 4096):
+        flat = grid[a : a + 4096].ravel()
+        known = np.flatnonzero(flat < size)
+        if len(known):
+            known = known[np.argsort(flat[known].astype(np.uint16) if size < 1 << 16 else flat[known], kind="stable")]
+            first = np.flatnonzero(np.append(True, np.diff(flat[known]) != 0))
+            out[flat[known][first]] += np.add.reduceat(taken[a : a + 4096][known // STEP], first, axis=0)
     return out
 
 
-def singular_vectors(coded: DataFrame, idf: np.ndarray, items: list[np.ndarray], fit_passages: int = FIT_PASSAGES) -> np.ndarray:
+def _pairs(words: list[np.ndarray], size: int) -> np.ndarray:
+    """Passages transposed times passages: how often two words, with themselves too, are met in one passage.
+
+    The last row and column, of all other words and of no words, say nothing.
+    """
+    n = size + 1
+    half, own = np.zeros(n * n, np.int64), np.zeros(n, np.int64)
+    words = [w for w in words if len(w)]
+    grid, doc, start = _laid(words, size) if words else (np.zeros((0, STEP), np.int32), np.zeros(0, int), np.zeros(0, int))
+    double = ~_alone(doc, start, len(grid))
+    passages = np.bincount(np.append(start, start[double] + 1), minlength=len(grid))  # of each block, one or two
+    left, right = np.triu_indices(STEP, 1)
+    for times in (1, 2):
+        blocks = np.flatnonzero(passages == times)
+        for a in range(0, len(blocks), 8192):
+            some = grid[blocks[a : a + 8192]].astype(np.int64)
+            half += times * np.bincount((some[:, left] * n + some[:, right]).ravel(), minlength=n * n)
+            own += times * np.bincount(some.ravel(), minlength=n)
+    firsts = start[double]
+    for a in range(0, len(firsts), 8192):
+        some, then = grid[firsts[a : a + 8192]].astype(np.int64), grid[firsts[a : a + 8192] + 1]
+        half += np.bincount((some[:, :, None] * n + then[:, None, :]).ravel(), minlength=n * n)
+    half = half.reshape(n, n)
+    return half + half.T + np.diag(own)
+
+
+def _added_up(coded: DataFrame, matrix: Callable[[list[np.ndarray]], np.ndarray], rows: int, columns: int) -> np.ndarray:
+    """The sum of a rows x columns matrix of documents over all of them; tasks add up, and one matrix comes back."""
+    step = max(1, PART_CELLS // columns)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((rows, columns))
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                out += matrix([_numbers(w) for w in batch["words"].iloc[lo : lo + 512]])
+        yield pd.DataFrame({"k": range(0, rows, step), "m": [out[k : k + step].tobytes() for k in range(0, rows, step)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, m in zip(batch["k"], batch["m"]):
+                sums[k] = sums.get(k, 0.0) + np.frombuffer(m)
+        yield pd.DataFrame({"k": list(sums), "m": [m.tobytes() for m in sums.values()]})
+
+    total = np.zeros((rows, columns))
+    for r in coded.mapInPandas(whole, "k int, m binary").repartition("k").mapInPandas(add, "k int, m binary").collect():
+        total[r.k : r.k + step] = np.frombuffer(r.m).reshape(-1, columns)
+    return total
+
+
+def singular_vectors(coded: DataFrame, idf: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
     """(words + 1) x DIMENSIONS projection of TF-IDF passages, by randomised subspace iteration.
 
-    The items' own passages are always among those fitted on. The sample is drawn by all tasks and laid out in FIT_TASKS
-    parts. Each round multiplies the passages of every part with the same small matrix and adds the products up; what
-    travels is one words x (DIMENSIONS + EXTRA) matrix a part.
+    All passages of documents and items take part. Where pairs of words are at most MOST_PAIRS, they are counted once and
+    multiplied here; else each round multiplies the passages of every partition with the same small matrix, and one
+    words x (DIMENSIONS + EXTRA) matrix comes back.
     """
     size = len(idf) - 1
     width = min(DIMENSIONS + EXTRA, size)
-    total = max(1, coded.agg(F.sum(F.greatest(F.ceil(F.length("words") / (4 * STEP)), F.lit(1)))).head()[0] or 1)
-    share = min(1.0, fit_passages / total)
-    cells = 1 << 20
-    taken = cut(coded.where(F.pmod(F.xxhash64("words"), F.lit(cells)) < F.lit(round(share * cells))).repartition(FIT_TASKS, F.xxhash64("words")))
     basis = np.random.default_rng(7).standard_normal((size, width)).astype(np.float32)
+    together = (size + 1) ** 2 <= MOST_PAIRS
+    pairs = _added_up(coded, lambda words: _pairs(words, size), size + 1, size + 1) + _pairs(items, size) if together else None
     for _ in range(POWERS + 1):
         table = np.vstack([basis * idf[:size, None], np.zeros((1, width), np.float32)])
-
-        def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros((size + 1, width), np.float32)
-            for batch in batches:
-                out += _product([_numbers(w) for w in batch["words"]], table, size)
-            yield pd.DataFrame({"m": [(out[:size] * idf[:size, None]).tobytes()]})
-
-        parts = taken.mapInPandas(product, "m binary").toLocalIterator()
-        image = (_product(items, table, size)[:size] * idf[:size, None]).astype(np.float64)
-        for r in parts:
-            image += np.frombuffer(r.m, np.float32).reshape(size, width)
+        if together:
+            image = pairs @ table
+        else:
+            image = _added_up(coded, lambda words, table=table: _product(words, table, size), size + 1, width) + _product(items, table, size)
+        image = image[:size] * idf[:size, None]
         basis = np.linalg.qr(image + 1e-12)[0].astype(np.float32)
     left, values, _ = np.linalg.svd(image, full_matrices=False)
     k = max(1, min(DIMENSIONS, int((values > 1e-6 * values[0]).sum())))
@@ -288,32 +338,37 @@ def _common_in_order(texts: np.ndarray, passages: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Cells:
-    """The item passages in cells: centroids, the members of each cell, and the least cosines of centroids and passages."""
+    """The item passages in cells: centroids, the members of each cell, and the least cosines of centroids and passages.
+
+    `near` and `least` are those of all but a thousandth of planted runs, `near_run` and `least_run` those of all.
+    """
 
     centroids: np.ndarray
     members: list[np.ndarray]
     near: float
     least: float
+    near_run: float
+    least_run: float
 
     def touched(self, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        """Which passages are in any candidate pair; a passage is looked at until its first one."""
+        """Which passages are in any pair above the limits of runs; a passage is looked at until its first one."""
         close = vectors @ self.centroids.T
         out = np.zeros(len(vectors), bool)
         for k in np.argsort(-close.max(0)) if len(vectors) else ():
-            rows = np.flatnonzero((close[:, k] > self.near) & ~out)
+            rows = np.flatnonzero((close[:, k] > self.near_run) & ~out)
             if len(rows) and len(self.members[k]):
-                out[rows] = (vectors[rows] @ queries[self.members[k]].T).max(1) > self.least
+                out[rows] = (vectors[rows] @ queries[self.members[k]].T).max(1) > self.least_run
         return out
 
-    def candidates(self, vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item passage, cosine) of the pairs above the limits; memory is bounded by one cell's share."""
-        close = vectors @ self.centroids.T > self.near
+    def candidates(self, vectors: np.ndarray, queries: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item passage, cosine) of the pairs above the limits, with `runs` those of runs; memory is bounded by one cell's share."""
+        close = vectors @ self.centroids.T > (self.near_run if runs else self.near)
         out = []
         for k, own in enumerate(self.members):
             rows = np.flatnonzero(close[:, k])
             if len(rows):
                 cosine = vectors[rows] @ queries[own].T
-                p, q = np.nonzero(cosine > self.least)
+                p, q = np.nonzero(cosine > (self.least_run if runs else self.least))
                 out.append((rows[p], own[q], cosine[p, q]))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
@@ -333,38 +388,98 @@ def _centroids(queries: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.nda
     return centroids.astype(np.float32), cell
 
 
+Plantings = Callable[[Iterator[pd.DataFrame]], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def _planter(coded: DataFrame, index: ItemIndex, table: np.ndarray) -> Plantings | None:
+    """What workers call on their documents: vectors of passages that hold STEP words and a run of an item, and the items.
+
+    Every block of every document gets a run, or several until every run of the items has a place: blocks are numbered
+    through all documents, and runs are taken in turn.
+    """
+    size, flat = index.size, np.concatenate(index.words)
+    lengths = np.array([len(w) for w in index.words])
+    many = np.maximum(lengths - RUN + 1, 0)
+    item = np.repeat(np.arange(len(lengths)), many)
+    at = np.arange(many.sum()) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(many) - many), many)
+    blocks = F.sum(F.ceil(F.length("words") / (4 * STEP)))
+    numbers = {r.p: r.n for r in coded.groupBy(F.spark_partition_id().alias("p")).agg(blocks.alias("n")).collect()}
+    total = sum(numbers.values())
+    if not total or not len(at):
+        return None
+    first = dict(zip(sorted(numbers), itertools.accumulate((numbers[p] for p in sorted(numbers)), initial=0)))
+    rounds = -(-len(at) // total)
+
+    def plant(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        number = first.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                words = [w for w in map(_numbers, batch["words"].iloc[lo : lo + 512]) if len(w)]
+                grid = _laid(words, size)[0] if words else np.zeros((0, STEP), np.int32)
+                for a in range(0, len(grid), 8192):
+                    beside = table[grid[a : a + 8192]].sum(1)
+                    for k in range(rounds):
+                        run = (number + a + k * total + np.arange(len(beside))) % len(at)
+                        yield _unit(beside + table[flat[at[run][:, None] + np.arange(RUN)]].sum(1)), item[run]
+                number += len(grid)
+
+    return plant
+
+
 def _planted(coded: DataFrame, index: ItemIndex, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of passages of a small sample of documents into which runs of RUN words of items are put, and the items."""
-    rng = np.random.default_rng(3)
-    sample = [_numbers(r.words) for r in coded.where(F.length("words") > 0).orderBy(F.xxhash64("words")).limit(200).collect()]
-    long = [j for j, w in enumerate(index.words) if len(w) >= RUN]
-    vectors, owners = [], []
-    for _ in range(PLANTED if sample and long else 0):
-        words, j = sample[rng.integers(len(sample))], long[rng.integers(len(long))]
-        run = rng.integers(len(index.words[j]) - RUN + 1)
-        at = rng.integers(max(len(words) - WIDE, 0) + 1)
-        beside = words[at : at + WIDE - RUN]
-        spot = rng.integers(len(beside) + 1)
-        mixed = np.concatenate([beside[:spot], index.words[j][run : run + RUN], beside[spot:]])
-        vectors.append(table[mixed].sum(0))
-        owners.append(j)
-    return _unit(np.array(vectors, np.float32).reshape(len(vectors), table.shape[1])), np.array(owners, np.int64)
+    """All planted passages and their items, to look at those of a small table."""
+    plant = _planter(coded, index, table)
+    if plant is None:
+        return np.zeros((0, table.shape[1]), np.float32), np.zeros(0, np.int64)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for vectors, wanted in plant(batches):
+            yield pd.DataFrame({"v": [v.astype(np.float32).tobytes() for v in vectors], "j": wanted})
+
+    got = coded.mapInPandas(rows, "v binary, j bigint").collect()
+    return np.array([np.frombuffer(r.v, np.float32) for r in got]), np.array([r.j for r in got], np.int64)
+
+
+def _low_end(counts: np.ndarray, share: float) -> float:
+    """The step's beginning of the cosine that `share` of all are below."""
+    rank = int(share * (counts.sum() - 1))
+    return float(np.searchsorted(np.cumsum(counts), rank, "right")) / FINE - 1.0
 
 
 def _index_cells(coded: DataFrame, index: ItemIndex, table: np.ndarray, queries: np.ndarray, owners: np.ndarray, most: float) -> Cells:
-    """Cells with the limits from which all but a thousandth of planted runs are candidates of their item."""
+    """Cells with the limits from which all planted runs, or all but a thousandth, are candidates of their item.
+
+    Workers count the cosines of all planted passages in steps of 1 / FINE; only these counts are sent.
+    """
     centroids, cell = _centroids(queries)
     members = [np.flatnonzero(cell == k) for k in range(len(centroids))]
-    vectors, wanted = _planted(coded, index, table)
-    if not len(vectors):
-        return Cells(centroids, members, -2.0, most)
-    best, near = np.zeros(len(vectors)), np.zeros(len(vectors))
-    for j in np.unique(wanted):
-        own, rows = np.flatnonzero(owners == j), np.flatnonzero(wanted == j)
-        cosine = vectors[rows] @ queries[own].T
-        best[rows] = cosine.max(1)
-        near[rows] = (vectors[rows] * centroids[cell[own[cosine.argmax(1)]]]).sum(1)
-    return Cells(centroids, members, float(np.quantile(near, 0.0005)) - 0.02, float(min(most, np.quantile(best, 0.0005) - 0.02)))
+    plant = _planter(coded, index, table)
+    if plant is None:
+        return Cells(centroids, members, -2.0, most, -2.0, most)
+    bounds = np.searchsorted(owners, np.arange(len(index.words) + 1))
+
+    def steps(cosine: np.ndarray) -> np.ndarray:
+        return np.bincount(np.clip(np.floor((cosine + 1.0) * FINE).astype(int), 0, 2 * FINE), minlength=2 * FINE + 1)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((2, 2 * FINE + 1), np.int64)
+        for vectors, wanted in plant(batches):
+            best, near = np.zeros(len(vectors)), np.zeros(len(vectors))
+            ends = np.append(np.flatnonzero(np.diff(wanted)) + 1, len(wanted))
+            for a, b in zip(np.append(0, ends[:-1]), ends):
+                own = np.arange(bounds[wanted[a]], bounds[wanted[a] + 1])
+                cosine = vectors[a:b] @ queries[own].T
+                best[a:b] = cosine.max(1)
+                near[a:b] = (vectors[a:b] * centroids[cell[own[cosine.argmax(1)]]]).sum(1)
+            counts += [steps(best), steps(near)]
+        held = np.flatnonzero(counts.any(0))
+        yield pd.DataFrame({"step": held.astype("int32"), "best": counts[0, held], "near": counts[1, held]})
+
+    best, near = np.zeros(2 * FINE + 1, np.int64), np.zeros(2 * FINE + 1, np.int64)
+    for r in coded.mapInPandas(measure, "step int, best bigint, near bigint").groupBy("step").agg(F.sum("best").alias("best"), F.sum("near").alias("near")).collect():
+        best[r.step], near[r.step] = r.best, r.near
+    (near_run, near_most), (least_run, least_most) = ([_low_end(x, share) - 0.02 for share in (0.0, 0.0005)] for x in (near, best))
+    return Cells(centroids, members, near_most, min(most, least_most), near_run, min(most, least_run))
 
 
 def _common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -433,11 +548,15 @@ def find_leaks(
         found: dict[tuple[int, int], tuple] = {}
         for a in range(0, len(doc), 2048):
             block = np.arange(a, min(a + 2048, len(doc)))
-            if not paraphrases:  # of the passages in candidate pairs, those that hold a run of any item
-                block = block[cells.touched(vectors[block], queries)]
-                block = block[holds_run(flat, start, single, block)]
-            p, q, cosine = cells.candidates(vectors[block], queries)
-            p = block[p]
+            # Of the passages in pairs above the limits of runs, those that hold a run of any item.
+            held = block[cells.touched(vectors[block], queries)]
+            held = held[holds_run(flat, start, single, held)]
+            p, q, cosine = cells.candidates(vectors[held], queries, runs=True)
+            p = held[p]
+            if paraphrases:
+                p2, q2, cosine2 = cells.candidates(vectors[block], queries)
+                both, one = np.unique(np.append(p, block[p2]) * len(queries) + np.append(q, q2), return_index=True)
+                (p, q), cosine = np.divmod(both, len(queries)), np.append(cosine, cosine2)[one]
             # Runs are read for each candidate passage and item, paraphrases for each candidate pair of passages.
             item = owners[q]
             pair, at = np.unique(p * len(index.words) + item, return_inverse=True)

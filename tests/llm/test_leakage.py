@@ -140,3 +140,66 @@ def test_reworded_passages_are_found(spark, tables):
     got = {(r.doc_id, r.item_id): r for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, paraphrases=True).collect()}
     assert all(got[i, i].kind == "reworded" and got[i, i].has_answer for i, *_ in long)
     assert not any(d == 1000 or i == 101 for d, i in got)
+
+
+def test_singular_vectors_are_those_of_all_passages(spark, monkeypatch):
+    """Eight long texts of unlike words, 66,000 passages together: each of them shapes the vectors."""
+    rng, size = np.random.default_rng(1), 30
+    texts = [rng.choice(size, 100_000, p=rng.dirichlet(np.full(size, 0.3))).astype(np.int32) for _ in range(8)]
+    coded = spark.createDataFrame([(d, t.tobytes()) for d, t in enumerate(texts)], "d long, words binary").cache()
+    idf = np.append(rng.uniform(0.5, 2.0, size), 0.0).astype(np.float32)
+    items = [rng.integers(size, size=40).astype(np.int32)]
+    gram = np.zeros((size, size))
+    for words in texts + items:
+        passages = [words[a : a + 24] for a in range(0, max(1, len(words) - 12), 12)]
+        x = np.array([np.bincount(p, minlength=size) for p in passages]) * idf[:size]
+        gram += x.T @ x
+    values, vectors = np.linalg.eigh(gram)
+    want = vectors * values**-0.25 / values.min() ** -0.25
+    for most in (leakage.MOST_PAIRS, 0):  # pairs counted once, and products of each round
+        monkeypatch.setattr(leakage, "MOST_PAIRS", most)
+        got = leakage.singular_vectors(coded, idf, items)[:size]
+        assert np.abs(got @ got.T - want @ want.T).max() < 0.001
+
+
+def test_pairs_and_products_agree():
+    rng, size = np.random.default_rng(2), 40
+    texts = [rng.integers(size + 1, size=n).astype(np.int32) for n in (0, 1, 11, 12, 13, 23, 24, 25, 37, 120_000)] * 2
+    table = np.vstack([rng.standard_normal((size, 5)), np.zeros((1, 5))]).astype(np.float32)
+    x = np.array([np.bincount(w[a : a + 24], minlength=size + 1) for w in texts if len(w) for a in range(0, max(1, len(w) - 12), 12)])
+    assert (leakage._pairs(texts, size) == x.T @ x)[:size, :size].all()
+    assert np.allclose(leakage._product(texts, table, size)[:size], (x.T @ (x @ table))[:size], rtol=1e-3, atol=0.5)
+
+
+def test_limits_come_from_every_document(spark):
+    """A few documents hide their leaks among words of much weight; the limits must let these be found too."""
+    rng = random.Random(5)
+    heavy = [f"zy{c}x" for c in "abcdefghijkl"]
+    items = [(i, " ".join(sentence(rng, 30)), "an answer") for i in range(40)] + [(40, " ".join(heavy + heavy), "x")]
+    docs = [(d, " ".join(sentence(rng, 60))) for d in range(3000)]
+    for k in range(6):
+        words = [rng.choice(heavy[:2]) for _ in range(240)]
+        for n in range(8):
+            run = items[rng.randrange(40)][1].split()[9:21]
+            words[24 * n + 6 : 24 * n + 18] = run
+        docs.append((3000 + k, " ".join(words)))
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(documents, spark.createDataFrame(items, "item_id long, item_text string, answer string")).collect()}
+    want = brute([(*d, 1) for d in docs], [(i, "s", t, a) for i, t, a in items])
+    assert len(want) > 30 and got == want
+
+
+def test_each_run_and_each_block_is_planted(spark, tables):
+    documents, items, _, rows = tables
+    for some in (documents, documents.where("doc_id in (3, 5)")):  # more blocks than runs, and fewer
+        index = leakage.index_items(items, "item_id", "item_text", "answer")
+        coded = leakage.encode_documents(some, "doc_id", "text", index).cache()
+        table = np.eye(index.size + 1, dtype=np.float32)
+        vectors, wanted = leakage._planted(coded, index, table)
+        blocks = sum(-(-len(leakage._numbers(r.words)) // 12) for r in coded.collect())
+        runs = sum(max(0, len(w) - 11) for w in index.words)
+        assert len(vectors) == blocks * -(-runs // blocks) and len(np.unique(wanted)) == sum(len(w) > 11 for w in index.words)
+        queries, owners = leakage._item_passages(index, table)
+        cells = leakage._index_cells(coded, index, table, queries, owners, 0.9)
+        best = np.array([(v @ queries[owners == j].T).max() for v, j in zip(vectors, wanted)])
+        assert abs(cells.least + 0.02 - np.quantile(best, 0.0005, method="lower")) < 0.0002
