@@ -317,24 +317,67 @@ def before_references(pages: DataFrame, entry: str = "entry_name", order: str =
     return rows.select(*pages.columns, body.alias("body"), F.when(after, F.col(text)).when(here, F.get(parts, F.lit(1))).alias("bibliography"))
 
 
+def _edits(part: str, text: str, anchored: bool = False) -> Iterator[int]:
+    """After each letter of `text`: the least edits that make `part` of what ends there, beginning anywhere or, anchored, at the text's start.
+
+    A column of the edit table is held as the bits of two numbers, where it goes up and where down.
+    """
+    whole, last = (1 << len(part)) - 1, 1 << (len(part) - 1)
+    at: dict[str, int] = {}
+    for j, p in enumerate(part):
+        at[p] = at.get(p, 0) | 1 << j
+    up, down, edits = whole, 0, len(part)
+    for c in text:
+        same = at.get(c, 0)
+        level = (((same & up) + up) ^ up) | same
+        more, less = down | (whole & ~(level | up)), up & level
+        edits += bool(more & last) - bool(less & last)
+        more, less = more << 1 | anchored, less << 1
+        up, down = (less | ~(same | down | more)) & whole, more & (same | down) & whole
+        yield edits
+
+
+def _places(part: str, text: str, most: int) -> list[tuple[int, int]]:
+    """Spans of `text` that hold every place where `part` stands with at most `most` edits, under a fifth of its letters.
+
+    An edit harms one piece of five letters or more at most, so the other pieces stand there as they are, shifted by no
+    more than `most` against each other. With more shifts than letters, as in rows of dots, the span is the whole text.
+    """
+    n = len(part) // 5
+    edges, shifts, missing = [len(part) * k // n for k in range(n + 1)], [], 0
+    for a, b in zip(edges, edges[1:]):
+        at = text.find(part[a:b])
+        missing += at < 0
+        if missing > most:
+            return []
+        while at >= 0:
+            shifts.append(at - a)
+            at = text.find(part[a:b], at + 1)
+        if len(shifts) > len(text):
+            return [(0, len(text))]
+    shifts.sort()
+    spans: list[tuple[int, int]] = []
+    for lo, hi in zip(shifts, shifts[n - most - 1 :]):
+        if hi - lo <= most:
+            start, end = max(0, lo - most), lo + len(part) + most
+            spans.append((spans.pop()[0] if spans and start <= spans[-1][1] else start, end))
+    return spans
+
+
 def near_match(part: str, text: str) -> tuple[int, int] | None:
-    """The first and best place (start, end) of `part` in `text` with at most a tenth of its letters wrong."""
-    most = len(part) // 10
-    at = text.find(part)
+    """The first and best place (start, end) of `part` in `text` with at most a tenth of its letters wrong; of several starts the first."""
+    at, most = text.find(part), len(part) // 10
     if at >= 0:
         return at, at + len(part)
-    if not part or not most:
+    least, end = most + 1, 0
+    for lo, hi in _places(part, text, most) if most else ():
+        for i, edits in enumerate(_edits(part, text[lo:hi]), lo + 1):
+            if edits < least:
+                least, end = edits, i
+    if least > most:
         return None
-    # One column of edit distances per letter of the text; each cell knows where its match began.
-    column, best = [(j, 0) for j in range(len(part) + 1)], None
-    for i, c in enumerate(text, 1):
-        new = [(0, i)]
-        for j, p in enumerate(part, 1):
-            new.append(min((column[j - 1][0] + (p != c), column[j - 1][1]), (column[j][0] + 1, column[j][1]), (new[-1][0] + 1, new[-1][1])))
-        column = new
-        if column[-1][0] <= most and (best is None or column[-1][0] < best[0]):
-            best = (column[-1][0], column[-1][1], i)
-    return best and (best[1], best[2])
+    back = text[max(0, end - len(part) - least) : end][::-1]
+    return end - max(k for k, edits in enumerate(_edits(part[::-1], back, True), 1) if edits == least), end
 
 
 def text_start(page: str, title: str | None, abstract: str | None, authors: list[str]) -> int:

@@ -1,3 +1,5 @@
+import random
+import time
 import zipfile
 
 import pytest
@@ -157,6 +159,50 @@ def test_heads_fronts_and_references(spark):
     assert {(r.entry_name, r.seq): r.content for r in archive.without_front(pages, docs).collect()}[("e", 1)] == "One"
 
 
+def edit_table(part, text):
+    """near_match by the whole table of edits, each cell with its least edits and the first start of these."""
+    column, best = [(j, 0) for j in range(len(part) + 1)], None
+    for i, c in enumerate(text, 1):
+        new = [(0, i)]
+        for j, p in enumerate(part, 1):
+            new.append(min((column[j - 1][0] + (p != c), column[j - 1][1]), (column[j][0] + 1, column[j][1]), (new[-1][0] + 1, new[-1][1])))
+        column = new
+        if column[-1][0] <= len(part) // 10 and (best is None or column[-1][0] < best[0]):
+            best = (column[-1][0], column[-1][1], i)
+    return best and best[1:]
+
+
+def test_near_matches_equal_the_edit_table():
+    deal, misprinted = random.Random(5), 0
+    for n in range(1500):
+        letters = ("ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz ", ".")[n % 4]
+        part = "".join(deal.choices(letters, k=deal.randint(1, 80)))
+        text = ""
+        for _ in range(3):
+            harmed = (deal.choice(("", deal.choice(letters), c + deal.choice(letters))) if deal.random() < 0.07 else c for c in part)
+            text += "".join(deal.choices(letters, k=deal.randint(0, 30))) + "".join(harmed) * deal.randint(0, 1)
+        got = archive.near_match(part, text)
+        assert got == ((text.find(part), text.find(part) + len(part)) if part in text else edit_table(part, text)), (part, text)
+        misprinted += got is not None and part not in text
+    assert misprinted > 200
+
+
+def test_long_texts_are_matched_in_time():
+    """A long abstract on a long scan; by the whole table of edits these four searches took 72 s."""
+    deal = random.Random(6)
+    words = ["".join(deal.choices("etaoinshrdlu", k=deal.randint(2, 9))) for _ in range(300)]
+    page, abstract = (" ".join(deal.choices(words, k=k)) for k in (16000, 100))
+    began = time.process_time()
+    harmed = "".join("#" if i % 12 == 5 else c for i, c in enumerate(abstract))
+    at = len(page) // 2
+    assert archive.near_match(abstract, page) is None
+    assert archive.near_match(abstract, page[:at] + "\n" + harmed + "\n" + page[at:]) == (at + 1, at + 1 + len(abstract))
+    assert archive.text_start(page[:at] + harmed + page[at:], None, abstract, []) == at + len(abstract)
+    dots = "." * len(abstract)
+    assert archive.near_match(dots[:-9] + "x" * 9, "." * 100_000) == (0, len(dots) - 9)  # no letter of it is rare
+    assert time.process_time() - began < 10
+
+
 def test_page_map_between(spark):
     known = spark.createDataFrame([("d", 3, 101), ("d", 7, 105)], "doc string, pdf int, printed int")
     wanted = spark.createDataFrame([("d", 1), ("d", 5), ("d", 9)], "doc string, pdf int")
